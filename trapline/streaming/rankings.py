@@ -1,0 +1,34 @@
+"""Running overview and rankings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from trapline.operators.rankings import address_days, overview_of
+
+REFRESH = "3 minutes"
+
+
+def running_countries(attempts: DataFrame) -> DataFrame:
+    """Attempts per country so far; a few hundred rows of state.  Use complete mode."""
+    return attempts.groupBy("country_code", "country_name").agg(F.count("*").alias("count"))
+
+
+def running_overview(attempts: DataFrame, folder: str, checkpoint: str, as_of: Column | str | None = None):
+    """Writer that stores the overview row of each refresh in a folder of its own.
+
+    The state is the short list the overview is made of, spread over all
+    executors by address; each refresh reduces it to one row.
+    """
+
+    def store(counted: DataFrame, batch_id: int) -> None:
+        row = overview_of(counted, F.localtimestamp() if as_of is None else as_of)
+        row.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/refresh={batch_id}")
+
+    return (
+        address_days(attempts)
+        .writeStream.outputMode("complete")
+        .foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+    )

@@ -1,0 +1,30 @@
+"""Live timeline: feed events per hour or day of event time."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trapline.functions.times import day_label, hour_label, to_instant, to_utc
+from trapline.operators.arguments import check_choice
+
+_LABELS = {"hour": hour_label, "day": day_label}
+
+
+def live_timeline(events: DataFrame, granularity: str = "hour", delay: str = "1 day") -> DataFrame:
+    """Running counts of all feed events, session starts included.
+
+    ``delay`` is how late an event may come and still be counted; it also bounds
+    the state to the buckets of that time.  Use update mode.  Day buckets are
+    UTC days, which needs a session in UTC.
+    """
+    check_choice("granularity", granularity, _LABELS)
+    label = _LABELS[granularity]
+    return (
+        events.filter(F.col("kind") != "closed")
+        .select(to_instant(F.col("timestamp")).alias("at"))
+        .withWatermark("at", delay)
+        .groupBy(F.window("at", f"1 {granularity}").alias("span"))
+        .agg(F.count("*").alias("count"))
+        .select(label(to_utc(F.col("span.start"))).alias("bucket"), "count")
+    )
