@@ -36,10 +36,8 @@ GEO_COLUMNS = ["country_code", "country_name", "city", "latitude", "longitude",
 
 def event_kind(event_id: Column) -> Column:
     """connect, login, command, transfer or closed; null for any other event."""
-    names: dict[str, list[str]] = {}
-    for name, kind in EVENT_KINDS.items():
-        names.setdefault(kind, []).append(name)
-    return F.coalesce(*[F.when(event_id.isin(*members), kind) for kind, members in names.items()])
+    kinds = F.create_map(*[F.lit(text) for pair in EVENT_KINDS.items() for text in pair])
+    return F.try_element_at(kinds, event_id)
 
 
 def with_defaults(raw: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def _scores(spark, folder):
 
 @query
 def attempts_normalised(spark, folder):
-    return _attempts(spark, folder)
+    return telemetry.build_table(spark, folder, "attempts")
 
 
 @query
@@ -107,7 +107,7 @@ def transfer_attempts(spark, folder):
 
 @query
 def captured_files(spark, folder):
-    return captured.list_files(telemetry.captured(spark, folder))
+    return captured.list_files(telemetry.build_table(spark, folder, "captured_files"))
 
 
 @query
@@ -190,22 +190,22 @@ def country_rankings(spark, folder):
 
 @query
 def intent_breakdown(spark, folder):
-    return rankings.intent_breakdown(telemetry.bare_attempts(spark, folder))
+    return rankings.intent_breakdown(_attempts(spark, folder))
 
 
 @query
 def top_commands(spark, folder):
-    return rankings.top_commands(telemetry.bare_attempts(spark, folder))
+    return rankings.top_commands(_attempts(spark, folder))
 
 
 @query
 def top_credentials(spark, folder):
-    return rankings.top_credentials(telemetry.bare_attempts(spark, folder))
+    return rankings.top_credentials(_attempts(spark, folder))
 
 
 @query
 def top_ports(spark, folder):
-    return rankings.top_ports(telemetry.bare_attempts(spark, folder), 2)
+    return rankings.top_ports(_attempts(spark, folder), 2)
 
 
 @query
@@ -215,12 +215,12 @@ def filter_options_country(spark, folder):
 
 @query
 def filter_options_event(spark, folder):
-    return rankings.filter_options(telemetry.bare_attempts(spark, folder), "event")
+    return rankings.filter_options(_attempts(spark, folder), "event")
 
 
 @query
 def filter_options_intent(spark, folder):
-    return rankings.filter_options(telemetry.bare_attempts(spark, folder), "intent")
+    return rankings.filter_options(_attempts(spark, folder), "intent")
 
 
 @query
@@ -230,12 +230,12 @@ def option_search(spark, folder):
 
 @query
 def option_search_intent(spark, folder):
-    return listing.search_options(telemetry.bare_attempts(spark, folder), "intent", "e F")
+    return listing.search_options(_attempts(spark, folder), "intent", "e F")
 
 
 @query
 def option_search_event(spark, folder):
-    return listing.search_options(telemetry.bare_attempts(spark, folder), "event", "FILE")
+    return listing.search_options(_attempts(spark, folder), "event", "FILE")
 
 
 @query
@@ -248,30 +248,30 @@ def daily_stats(spark, folder):
 
 @query
 def timeline_hour(spark, folder):
-    return timeline.timeline(telemetry.bare_attempts(spark, folder), AS_OF, "hour", 2.3, 0)
+    return timeline.timeline(_attempts(spark, folder), AS_OF, "hour", 2.3, 0)
 
 
 @query
 def timeline_day_tz(spark, folder):
-    return timeline.timeline(telemetry.bare_attempts(spark, folder), AS_OF, "day", 30, -330)
+    return timeline.timeline(_attempts(spark, folder), AS_OF, "day", 30, -330)
 
 
 @query
 def timeline_before_the_end(spark, folder):
     """A clock in the middle of the data: later attempts must not show."""
-    return timeline.timeline(telemetry.bare_attempts(spark, folder), "2024-01-15 13:20:00", "hour", 1.5, 345)
+    return timeline.timeline(_attempts(spark, folder), "2024-01-15 13:20:00", "hour", 1.5, 345)
 
 
 @query
 def timeframe_presets(spark, folder):
-    return pages.timeframes(telemetry.bare_attempts(spark, folder), AS_OF)
+    return pages.timeframes(_attempts(spark, folder), AS_OF)
 
 
 @query
 def utc_minus_8_day(spark, folder):
     """Attempts per UTC-8 midnight."""
     midnight = utc_minus_8_midnight(F.col("timestamp")).alias("midnight")
-    return telemetry.bare_attempts(spark, folder).groupBy(midnight).agg(F.count("*").alias("attempts"))
+    return _attempts(spark, folder).groupBy(midnight).agg(F.count("*").alias("attempts"))
 
 
 # Addresses
@@ -311,7 +311,7 @@ def missing_score_list(spark, folder):
 
 @query
 def unscored_ips(spark, folder):
-    return addresses.unscored_ips(telemetry.bare_attempts(spark, folder), _scores(spark, folder))
+    return addresses.unscored_ips(_attempts(spark, folder), _scores(spark, folder))
 
 
 @query
@@ -409,7 +409,7 @@ def files_accessed(spark, folder):
 
 @query
 def files_accessed_total(spark, folder):
-    return listing.files_accessed_total(telemetry.bare_attempts(spark, folder))
+    return listing.files_accessed_total(_attempts(spark, folder))
 
 
 # Captured files
@@ -430,7 +430,7 @@ def malware_enriched(spark, folder):
 
 @query
 def session_rollup(spark, folder):
-    return telemetry.sessions(spark, folder)
+    return telemetry.build_table(spark, folder, "sessions")
 
 
 # Visitors
@@ -438,7 +438,7 @@ def session_rollup(spark, folder):
 
 @query
 def page_views(spark, folder):
-    return telemetry.page_views(spark, folder)
+    return telemetry.build_table(spark, folder, "page_views")
 
 
 @query
@@ -451,44 +451,36 @@ def viewer_stats(spark, folder):
 # Upkeep
 
 
-def _unpurged(spark, folder):
-    return {
-        "attempts": telemetry.attempts(spark, folder, keep_private=True),
-        "sessions": telemetry.sessions(spark, folder, keep_private=True),
-        "captured_files": telemetry.captured(spark, folder, keep_private=True),
-    }
-
-
 @query
 def all_ips(spark, folder):
-    tables = _unpurged(spark, folder)
+    tables = telemetry.unpurged(spark, folder)
     return maintain.all_ips(tables["attempts"], tables["sessions"])
 
 
 @query
 def private_ips(spark, folder):
-    tables = _unpurged(spark, folder)
+    tables = telemetry.unpurged(spark, folder)
     return maintain.private_ips(tables["attempts"], tables["sessions"])
 
 
 @query
 def purge_report(spark, folder):
-    return maintain.purge_report(_unpurged(spark, folder))
+    return maintain.purge_report(telemetry.unpurged(spark, folder))
 
 
 @query
 def purge_kept_attempts(spark, folder):
-    return maintain.purge_private(_unpurged(spark, folder))["attempts"]
+    return maintain.purge_private(telemetry.unpurged(spark, folder))["attempts"]
 
 
 @query
 def purge_kept_sessions(spark, folder):
-    return maintain.purge_private(_unpurged(spark, folder))["sessions"]
+    return maintain.purge_private(telemetry.unpurged(spark, folder))["sessions"]
 
 
 @query
 def purge_kept_files(spark, folder):
-    return maintain.purge_private(_unpurged(spark, folder))["captured_files"]
+    return maintain.purge_private(telemetry.unpurged(spark, folder))["captured_files"]
 
 
 # Display functions over whole tables
@@ -513,7 +505,7 @@ def score_bands(spark, folder):
 
 @query
 def pin_severity(spark, folder):
-    counts = telemetry.bare_attempts(spark, folder).groupBy("session_id").agg(F.count("*").alias("count"))
+    counts = _attempts(spark, folder).groupBy("session_id").agg(F.count("*").alias("count"))
     return counts.withColumn("band", pin_band(F.col("count")))
 
 
@@ -565,7 +557,7 @@ def malware_list(spark, folder):
 
 @query
 def intent_page(spark, folder):
-    return pages.intent_page(telemetry.bare_attempts(spark, folder))
+    return pages.intent_page(_attempts(spark, folder))
 
 
 @query
@@ -580,12 +572,12 @@ def country_bars(spark, folder):
 
 @query
 def command_share_of_leader(spark, folder):
-    return pages.command_page(telemetry.bare_attempts(spark, folder))
+    return pages.command_page(_attempts(spark, folder))
 
 
 @query
 def credentials_panel(spark, folder):
-    return pages.credentials_panel(telemetry.bare_attempts(spark, folder))
+    return pages.credentials_panel(_attempts(spark, folder))
 
 
 # Stored tables and streams

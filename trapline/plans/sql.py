@@ -155,7 +155,7 @@ SELECT o.session_id, o.src_ip, o.timestamp AS start_time, arg_max(e.timestamp, e
 FROM {events} o
  JOIN (SELECT session_id, min(id) AS id FROM {events} WHERE kind = 'connect' GROUP BY session_id) f ON o.id = f.id
  LEFT JOIN {events} e ON e.session_id = o.session_id AND e.id > o.id
-GROUP BY ALL"""
+GROUP BY o.session_id, o.src_ip, o.timestamp, o.protocol, o.country_code, o.country_name, o.latitude, o.longitude"""
 
 
 def _files(events: str) -> str:
@@ -222,7 +222,7 @@ BLOCKS["ips_200"] = _ips(200)
 
 
 def _pins(attempts: str, limit: int, dedupe: bool = False) -> str:
-    keep = "QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY id DESC) = 1" if dedupe else ""
+    keep = "QUALIFY row_number() OVER (PARTITION BY a.src_ip ORDER BY a.id DESC) = 1" if dedupe else ""
     return f"""
 SELECT latitude, longitude, count, country_code, country_name, city, latest_timestamp, event_id AS latest_event_id,
  src_ip AS latest_src_ip, id

@@ -66,7 +66,7 @@ def log_read(spark, folder):
 def stored_attempts(spark, folder):
     """Write attempts in date folders, then read one day and two countries back."""
     target = work_folder(spark, "store")
-    tables.write_attempts(telemetry.attempts(spark, folder), target)
+    tables.write_attempts(telemetry.build_table(spark, folder, "attempts"), target)
     stored = tables.load_table(spark, target, "attempts")
     one_day = stored.filter(F.col(tables.DATE_COLUMN) == F.lit("2024-01-15").cast("date")).drop(tables.DATE_COLUMN)
     return listing.filter_attempts(one_day, country=["N1", "N6"])
@@ -75,14 +75,14 @@ def stored_attempts(spark, folder):
 @query
 def stored_captured(spark, folder):
     target = work_folder(spark, "store")
-    tables.write_captured(telemetry.captured(spark, folder), target)
+    tables.write_captured(telemetry.build_table(spark, folder, "captured_files"), target)
     return tables.load_table(spark, target, "captured_files").drop(tables.DATE_COLUMN)
 
 
 @query
 def stored_page_views(spark, folder):
     target = work_folder(spark, "store")
-    tables.append_table(telemetry.page_views(spark, folder), target, "page_views")
+    tables.append_table(telemetry.build_table(spark, folder, "page_views"), target, "page_views")
     return tables.load_table(spark, target, "page_views").drop(tables.DATE_COLUMN)
 
 

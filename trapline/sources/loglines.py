@@ -44,24 +44,29 @@ def read_log_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
 def _with_object(lines: DataFrame) -> DataFrame:
     """Non-blank lines with their parsed object and, where it could matter, its keys.
 
-    The line is parsed once, inside brackets: text after the object then makes
-    it malformed.  The keys are only listed for lines that contain ``null``,
-    the only ones where a missing key and a null value can differ.
+    The line is parsed inside brackets: text after the object then makes it
+    malformed.  The keys are only listed for lines that contain ``null``, the
+    only ones where a missing key and a null value can differ.
+
+    The one-element explode keeps the parse in a step of its own.  Filters on
+    its result are not moved below it, so each line is parsed exactly once.
     """
     line = F.btrim(F.col("value"), F.lit(_BLANK))
-    parsed = F.from_json(
+    braces = F.startswith(F.col("line"), F.lit("{")) & F.endswith(F.col("line"), F.lit("}"))
+    objects = F.from_json(
         F.concat(F.lit("["), F.col("line"), F.lit("]")),
         _OBJECT,
         {"mode": "PERMISSIVE", "allowSingleQuotes": "false"},
     )
-    braces = F.startswith(F.col("line"), F.lit("{")) & F.endswith(F.col("line"), F.lit("}"))
+    present = F.when(F.contains("line", F.lit("null")), F.json_object_keys("line"))
+    parsed = F.struct(F.when(braces, objects).alias("objects"), present.alias("present"))
     return (
         lines.withColumn("line", line)
         .filter(F.col("line") != "")
-        .withColumn("objects", F.when(braces, parsed))
-        .withColumn("event", F.when(F.size("objects") == 1, F.col("objects").getItem(0)))
-        .withColumn("present", F.when(F.contains("line", F.lit("null")), F.json_object_keys("line")))
-        .drop("objects")
+        .withColumn("parsed", F.explode_outer(F.array(parsed)))
+        .withColumn("event", F.when(F.size("parsed.objects") == 1, F.col("parsed.objects").getItem(0)))
+        .withColumn("present", F.col("parsed.present"))
+        .drop("parsed")
     )
 
 
@@ -82,7 +87,7 @@ def _failed() -> Column:
     )
 
 
-def parse_lines(lines: DataFrame, as_of: datetime | str) -> DataFrame:
+def parse_lines(lines: DataFrame, as_of: datetime | str | Column) -> DataFrame:
     """Log lines to raw events; blank, malformed and failed lines are dropped.
 
     ``as_of`` stands for the processing time, used where the timestamp text
@@ -91,18 +96,19 @@ def parse_lines(lines: DataFrame, as_of: datetime | str) -> DataFrame:
     """
     event = F.col("event")
     ts = F.coalesce(parse_timestamp(event.timestamp), clock(as_of))
-    text = {name: event.getField(name).alias(name) for name in FIELDS if not name.endswith("_port")}
-    text.pop("timestamp")
+    text = [event[name].alias(name) for name in FIELDS if name != "timestamp" and not name.endswith("_port")]
+    copies = [name for name in ("copies",) if name in lines.columns]
     return (
         _with_object(lines)
         .filter(event.isNotNull() & ~_failed())
         .select(
             F.xxhash64("file", "line").alias("id"),
             ts.alias("ts"),
-            *text.values(),
+            *text,
             event.src_port.try_cast("int").alias("src_port"),
             event.dst_port.try_cast("int").alias("dst_port"),
             "present",
+            *copies,
         )
         .withColumn("seq", epoch_micros(F.col("ts")))
     )

@@ -15,6 +15,9 @@ from trapline.operators.geo import enrich_geo
 from trapline.operators.ingest import build_attempts, captured_files, normalise
 from trapline.operators.sessions import build_sessions
 from trapline.operators.visitors import build_page_views
+from trapline.schemas import DATE_COLUMN
+from trapline.settings import work_folder
+from trapline.sources.tables import append_table, load_table
 
 # The fixed clock of all test queries.
 AS_OF = "2024-01-31 00:00:00"
@@ -22,6 +25,8 @@ AS_OF = "2024-01-31 00:00:00"
 # The test log is numbered, not timed; a slice is this many events.
 SLICE_WIDTH = 1000
 
+_stores: dict[tuple, str] = {}
+
 RAW_EVENTS = """
 SELECT event_id AS seq, ts, 's' || CAST(user_id AS STRING) || '-' || CAST(day(ts) % 5 AS STRING) AS session,
  CASE WHEN user_id % 10 = 0 THEN '10.0.' || CAST(user_id % 251 AS STRING) || '.' || CAST(user_id % 241 AS STRING)
@@ -122,30 +127,49 @@ def events(spark: SparkSession, folder: str, keep_private: bool = False) -> Data
     return normalise(raw_events(spark, folder), keep_private)
 
 
-def attempts(spark: SparkSession, folder: str, keep_private: bool = False) -> DataFrame:
-    """Located attempts."""
-    return build_attempts(enrich_geo(events(spark, folder, keep_private), geo_ranges(spark, folder)))
+def build_table(spark: SparkSession, folder: str, name: str, keep_private: bool = False) -> DataFrame:
+    """One of the tables that ingest fills, computed from the raw events."""
+    if name == "page_views":
+        return build_page_views(requests(spark, folder))
+    public = events(spark, folder, keep_private)
+    if name == "attempts":
+        return build_attempts(enrich_geo(public, geo_ranges(spark, folder)))
+    if name == "sessions":
+        return build_sessions(public, geo_ranges(spark, folder), SLICE_WIDTH)
+    # Signature matches as an analyser would leave them.
+    matches = """CASE id % 4 WHEN 0 THEN '["dropper","packed"]' WHEN 1 THEN '[]' WHEN 2 THEN 'not json' END"""
+    return captured_files(public).withColumn("yara_matches", F.expr(matches))
+
 
+def stored(spark: SparkSession, folder: str, name: str, keep_private: bool = False) -> DataFrame:
+    """The same table, ingested once per session and read back from storage.
 
-def bare_attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """Attempts without places, for queries that need none."""
-    return build_attempts(events(spark, folder))
+    Most queries start here: as in production, they scan a stored table and not
+    the raw log.
+    """
+    key = (spark.sparkContext.applicationId, folder, name, keep_private)
+    if key not in _stores:
+        target = work_folder(spark, "store")
+        append_table(build_table(spark, folder, name, keep_private), target, name)
+        _stores[key] = target
+    return load_table(spark, _stores[key], name).drop(DATE_COLUMN)
 
 
-def sessions(spark: SparkSession, folder: str, keep_private: bool = False) -> DataFrame:
-    return build_sessions(events(spark, folder, keep_private), geo_ranges(spark, folder), SLICE_WIDTH)
+def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "attempts")
 
 
-def captured(spark: SparkSession, folder: str, keep_private: bool = False) -> DataFrame:
-    """Captured files, with signature matches as an analyser would leave them."""
-    matches = F.expr(
-        """CASE id % 4 WHEN 0 THEN '["dropper","packed"]' WHEN 1 THEN '[]' WHEN 2 THEN 'not json' END"""
-    )
-    return captured_files(events(spark, folder, keep_private)).withColumn("yara_matches", matches)
+def captured(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "captured_files")
 
 
 def page_views(spark: SparkSession, folder: str) -> DataFrame:
-    return build_page_views(requests(spark, folder))
+    return stored(spark, folder, "page_views")
+
+
+def unpurged(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Stored tables that private sources got into."""
+    return {name: stored(spark, folder, name, True) for name in ("attempts", "sessions", "captured_files")}
 
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
