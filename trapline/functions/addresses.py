@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The networks counted as private, and the public holes in them.
@@ -144,20 +144,23 @@ def is_ipv6(ip: Column) -> Column:
     return ip.rlike(_IPV6)
 
 
-def ip_to_long(ip: Column) -> Column:
-    """The 32-bit value of an IPv4 address, null for any other text.
+def with_ip_number(frame: DataFrame, ip: Column, into: str) -> DataFrame:
+    """Add the 32-bit value of an IPv4 address, null for any other text.
 
-    The text is valid if writing the four numbers out again gives the same
-    text; that is much cheaper per event than matching a pattern.
+    The number is right if writing it out again gives the same text; that is
+    much cheaper per event than matching a pattern.
     """
     octets = [
         F.substring_index(F.substring_index(ip, ".", position), ".", -1).try_cast("bigint")
         for position in range(1, 5)
     ]
-    spelled_alike = F.concat_ws(".", *[octet.cast("string") for octet in octets]) == ip
-    in_range = F.least(*octets).between(0, 255) & F.greatest(*octets).between(0, 255)
-    return F.when(
-        spelled_alike & in_range, ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
+    number = F.col("_number")
+    spelled = F.concat_ws(".", *[F.shiftright(number, bits).bitwiseAND(255).cast("string") for bits in (24, 16, 8, 0)])
+    in_range = number.between(0, 0xFFFFFFFF)
+    return (
+        frame.withColumn("_number", ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3])
+        .withColumn(into, F.when(in_range & (spelled == ip), number))
+        .drop("_number")
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,25 +56,58 @@ INTENTS = [
     ("data_exfiltration", "T1041", "Extracting sensitive data from the system"),
 ]
 
-# Case-insensitive, \n as the only line end, Unicode character classes.
+# Case-insensitive, \n as the only line end, Unicode character classes; with the
+# four separator control characters counted as space.
 _FLAGS = "(?idU)"
+_SPACE = r"[\\s\\x1c-\\x1f]"
+
+# Letters that match an ASCII letter in any case without being one.
+_FOLD_FROM, _FOLD_TO = "ſıİK", "siik"
+
+
+def _screen_words(pattern: str) -> list[str]:
+    """For each alternative of a rule its longest plain text, which any match contains."""
+    words = []
+    for alternative in re.split(r"(?<!\\)\|", pattern):
+        runs = re.split(r"\\s[+*]?|\\b|\.\*|\[[^\]]*\][+*]?|\$", alternative)
+        words.append(max((re.sub(r"\\(.)", r"\1", run) for run in runs), key=len).lower())
+    return words
 
 
 def verdict(intent: str, technique: str) -> Column:
     return F.struct(F.lit(intent).alias("intent"), F.lit(technique).alias("mitre_id"))
 
 
-def classify_command(command: Column) -> Column:
-    """struct(intent, mitre_id) of one command; empty, null and unmatched text is unknown."""
-    first, *rest = COMMAND_RULES
-    chain = F.when(command.rlike(_FLAGS + first[0]), verdict(*first[1:]))
-    chain = reduce(lambda c, rule: c.when(command.rlike(_FLAGS + rule[0]), verdict(*rule[1:])), rest, chain)
-    return chain.otherwise(verdict(*UNMATCHED))
+def _rule_sql() -> str:
+    """The 1-based number of the first rule that matches ``_command``, else 0."""
+    whens = []
+    for number, (pattern, _, _) in enumerate(COMMAND_RULES, 1):
+        screen = " OR ".join(f"contains(_folded, '{word}')" for word in dict.fromkeys(_screen_words(pattern)))
+        spelled = re.sub(r"\\s", _SPACE, pattern)
+        whens.append(f"WHEN ({screen}) AND rlike(_command, r'{_FLAGS}{spelled}') THEN {number}")
+    return f"CASE {' '.join(whens)} ELSE 0 END"
+
+
+_RULE = _rule_sql()
+
 
+def with_verdict(frame: DataFrame, command: Column, into: str = "found") -> DataFrame:
+    """Add struct(intent, mitre_id) of a command; empty, null and unmatched text is unknown.
 
-def classify_login() -> Column:
-    """struct(intent, mitre_id) of a login; success makes no difference."""
-    return verdict(*LOGIN)
+    A rule's pattern is only tried on text that contains one of its words, which
+    is a search of bytes and settles most rules for most commands.  Neither
+    helper column is ever null, which keeps the generated code short.
+    """
+    ascii_only = F.length(command) == F.octet_length(command)
+    folded = F.lower(F.when(ascii_only, command).otherwise(F.translate(command, _FOLD_FROM, _FOLD_TO)))
+    verdicts = F.array(verdict(*UNMATCHED), *[verdict(*rule[1:]) for rule in COMMAND_RULES])
+    empty = F.lit("")
+    return (
+        frame.withColumns({"_command": F.coalesce(command, empty), "_folded": F.coalesce(folded, empty)})
+        .withColumn("_rule", F.expr(_RULE))
+        .withColumn(into, verdicts[F.col("_rule")])
+        .drop("_command", "_folded", "_rule")
+    )
 
 
 def intent_dim(spark: SparkSession) -> DataFrame:

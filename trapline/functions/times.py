@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 
 # The feed's own format and its close relatives; Spark casts these directly.
 _PLAIN = (
-    r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?\z"
+    r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?)?\z"
 )
 # Any other accepted ISO spelling: compact date or time, comma fraction, hour only.
+_ZONE = r"(?<=.{11})(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)\z"
 _ISO = (
-    r"^(\d{4})(-?)(\d{2})\2(\d{2})"
-    r"(?:.(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d+))?)?)?"
-    r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?)?\z"
+    r"^\d{4}(-?)\d{2}\1\d{2}"
+    r"(?:.\d{2}(?:(:?)\d{2}(?:\2\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?)?\z"
 )
+# Where the separators of the plain spelling go.
+_SEPARATORS = [
+    (r"^(\d{4})-?(?=\d{2})", "-"),
+    (r"^(.{7})-?(?=\d{2})", "-"),
+    (r"^(.{10}).(?=\d{2})", " "),
+    (r"^(.{13}):?(?=\d{2})", ":"),
+    (r"^(.{16}):?(?=\d{2})", ":"),
+]
 
 
 def clock(as_of: datetime | str | Column) -> Column:
@@ -31,19 +39,11 @@ def clock(as_of: datetime | str | Column) -> Column:
 def parse_timestamp(text: Column) -> Column:
     """Zone-less timestamp of ISO text, null if it is not one.  An offset is dropped, not applied."""
 
-    def part(group: int) -> Column:
-        found = F.regexp_extract(text, _ISO, group)
-        return F.when(found == "", F.lit("00")).otherwise(found)
-
-    rebuilt = F.concat(
-        F.concat_ws("-", part(1), part(3), part(4)),
-        F.lit(" "),
-        F.concat_ws(":", part(5), part(7), part(8)),
-        F.lit("."),
-        part(9),
-    )
+    spelled = F.regexp_replace(text, _ZONE, "")
+    for pattern, separator in _SEPARATORS:
+        spelled = F.regexp_replace(spelled, pattern, "$1" + separator)
     return F.when(text.rlike(_PLAIN), text.try_cast("timestamp_ntz")).when(
-        text.rlike(_ISO), rebuilt.try_cast("timestamp_ntz")
+        text.rlike(_ISO), F.replace(spelled, F.lit(","), F.lit(".")).try_cast("timestamp_ntz")
     )
 
 

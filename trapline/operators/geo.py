@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.functions.addresses import ip_to_long
+from trapline.functions.addresses import with_ip_number
 from trapline.functions.display import filled
 from trapline.operators.arguments import check_limit
 
@@ -33,20 +33,19 @@ def enrich_geo(events: DataFrame, geo_ranges: DataFrame, bucket_bits: int = 16,
 
     A miss gives empty text and 0.0, not null; only ``asn`` is null.
     """
-    width = 1 << (32 - bucket_bits)
     src_ip = F.col("src_ip")
-    skipped = F.lit(False)
+    looked_up = F.lit(True)
     for prefix in SKIPPED_PREFIXES:
-        skipped = skipped | F.startswith(src_ip, F.lit(prefix))
-    keyed = events.withColumn("_ip", F.when(~skipped, ip_to_long(src_ip)))
+        looked_up = looked_up & ~F.startswith(src_ip, F.lit(prefix))
     row_hash = F.xxhash64(events.columns[0], "src_ip")
-    keyed = keyed.withColumn(
+    shift = 32 - bucket_bits
+    keyed = with_ip_number(events, src_ip, "_ip").withColumn(
         "_prefix",
-        F.when(F.col("_ip").isNotNull(), F.floor(F.col("_ip") / width)).otherwise(
+        F.when(F.col("_ip").isNotNull() & looked_up, F.shiftright("_ip", shift)).otherwise(
             -1 - F.pmod(row_hash, F.lit(_NO_MATCH_KEYS))
         ),
     )
-    prefixes = F.sequence(F.floor(F.col("start_ip") / width), F.floor(F.col("end_ip") / width))
+    prefixes = F.sequence(F.shiftright("start_ip", shift), F.shiftright("end_ip", shift))
     ranges = geo_ranges.select(
         F.explode(prefixes).alias("_prefix"),
         "start_ip",

@@ -6,11 +6,13 @@ log with no shuffle, in batch and in streaming alike.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.addresses import is_private
-from trapline.functions.classify import TRANSFER, classify_command, classify_login, verdict
+from trapline.functions.classify import LOGIN, TRANSFER, verdict, with_verdict
 from trapline.functions.display import filled
 
 # Event names and the kind each is handled as.
@@ -40,43 +42,47 @@ def event_kind(event_id: Column) -> Column:
     return F.try_element_at(kinds, event_id)
 
 
-def with_defaults(raw: DataFrame) -> DataFrame:
-    """Raw events with defaults for missing keys and one name per column.
+def event_columns(value: Callable[[str], Column], null: Callable[[str], Column] | None = None) -> list[Column]:
+    """The columns of an event, with defaults for missing keys.
 
-    A null in a raw column means that the key is missing, unless the key is
-    listed in ``present``: then the value was an explicit null and stays null.
+    ``value`` gives the column of a key.  A null in it means that the key is
+    missing, unless ``null`` says that the key is there with a null value.
     """
 
-    def has(key: str) -> Column:
-        if "present" not in raw.columns:
-            return F.col(key).isNotNull()
-        return F.col(key).isNotNull() | F.coalesce(F.array_contains("present", key), F.lit(False))
+    def missing(key: str) -> Column:
+        return value(key).isNull() if null is None else value(key).isNull() & ~null(key)
 
-    def value(key: str, default) -> Column:
-        return F.when(has(key), F.col(key)).otherwise(default)
+    def filled_in(key: str, default: Column) -> Column:
+        return F.coalesce(value(key), default if null is None else F.when(~null(key), default))
 
-    for key in ("destfile", "filename"):
-        if key not in raw.columns:
-            raw = raw.withColumn(key, F.lit(None).cast("string"))
     empty = F.lit("")
-    return raw.select(
-        "id",
-        "seq",
-        F.coalesce("session", empty).alias("session_id"),
-        F.coalesce("eventid", empty).alias("event_id"),
-        F.col("ts").alias("timestamp"),
-        F.coalesce("src_ip", empty).alias("src_ip"),
-        "src_port",
-        value("dst_port", F.lit(DEFAULT_DST_PORT)).alias("dst_port"),
-        value("protocol", F.lit(DEFAULT_PROTOCOL)).alias("protocol"),
-        value("username", empty).alias("username"),
-        value("password", empty).alias("password"),
-        value("input", empty).alias("input"),
-        value("url", value("destfile", empty)).alias("url"),
-        value("shasum", empty).alias("shasum"),
-        value("outfile", value("filename", empty)).alias("filename"),
-        value("outfile", empty).alias("outfile"),
-    )
+    text = {
+        "session_id": F.coalesce(value("session"), empty),
+        "event_id": F.coalesce(value("eventid"), empty),
+        "src_ip": F.coalesce(value("src_ip"), empty),
+        "src_port": value("src_port").try_cast("int"),
+        "dst_port": F.coalesce(
+            value("dst_port").try_cast("int"), F.when(missing("dst_port"), F.lit(DEFAULT_DST_PORT))
+        ),
+        "protocol": filled_in("protocol", F.lit(DEFAULT_PROTOCOL)),
+        "username": filled_in("username", empty),
+        "password": filled_in("password", empty),
+        "input": filled_in("input", empty),
+        "url": filled_in("url", filled_in("destfile", empty)),
+        "shasum": filled_in("shasum", empty),
+        "filename": filled_in("outfile", filled_in("filename", empty)),
+        "outfile": filled_in("outfile", empty),
+    }
+    return [column.alias(name) for name, column in text.items()]
+
+
+def with_defaults(raw: DataFrame) -> DataFrame:
+    """Raw event rows with defaults for missing keys; a null means that the key is missing."""
+
+    def value(key: str) -> Column:
+        return F.col(key) if key in raw.columns else F.lit(None).cast("string")
+
+    return raw.select("id", "seq", F.col("ts").alias("timestamp"), *event_columns(value))
 
 
 def drop_private(events: DataFrame) -> DataFrame:
@@ -89,10 +95,10 @@ def route(events: DataFrame) -> DataFrame:
     return events.withColumn("kind", event_kind(F.col("event_id"))).filter(F.col("kind").isNotNull())
 
 
-def normalise(raw: DataFrame, keep_private: bool = False) -> DataFrame:
-    """Defaults, routing and the private-source filter."""
-    events = route(with_defaults(raw))
-    return events if keep_private else drop_private(events)
+def normalise(events: DataFrame, keep_private: bool = False) -> DataFrame:
+    """Routing and the private-source filter."""
+    handled = route(events)
+    return handled if keep_private else drop_private(handled)
 
 
 def transfer_text() -> Column:
@@ -103,21 +109,22 @@ def transfer_text() -> Column:
     )
 
 
+def _typed() -> Column:
+    """The typed command, null for events of any other kind."""
+    return F.when(F.col("kind") == "command", F.col("input"))
+
+
 def build_attempts(events: DataFrame) -> DataFrame:
     """Login, command and transfer events as attempts, in one pass.
 
     Location columns are passed through when the events have them.
     """
     kind = F.col("kind")
-    found = (
-        F.when(kind == "login", classify_login())
-        .when(kind == "command", classify_command(F.col("input")))
-        .otherwise(verdict(*TRANSFER))
-    )
+    found = F.when(kind == "login", verdict(*LOGIN)).when(kind == "transfer", verdict(*TRANSFER))
     geo = [name for name in GEO_COLUMNS if name in events.columns]
     return (
-        events.filter(kind.isin(*ATTEMPT_KINDS))
-        .withColumn("found", found)
+        with_verdict(events.filter(kind.isin(*ATTEMPT_KINDS)), _typed(), "typed")
+        .withColumn("found", found.otherwise(F.col("typed")))
         .select(
             "id",
             "session_id",
@@ -182,7 +189,6 @@ def live_feed(events: DataFrame) -> DataFrame:
 
     country = F.col("country_name").alias("country")
     position = ["latitude", "longitude"]
-    found = classify_command(F.col("input"))
     success = (F.col("event_id") == LOGIN_SUCCESS).alias("success")
     kind = F.col("kind")
     text = (
@@ -196,8 +202,5 @@ def live_feed(events: DataFrame) -> DataFrame:
         )
         .when(kind == "transfer", payload("file_download", "url", F.col("shasum").alias("sha256"), country))
     )
-    return (
-        events.filter(kind != "closed")
-        .withColumn("found", F.when(kind == "command", found))
-        .select("id", "timestamp", text.alias("payload"))
-    )
+    feed = with_verdict(events.filter(kind != "closed"), _typed())
+    return feed.select("id", "timestamp", text.alias("payload"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.functions.addresses import ip_to_long, is_private, is_valid_ip, mask_ip
-from trapline.functions.classify import classify_command
+from trapline.functions.addresses import is_private, is_valid_ip, mask_ip, with_ip_number
+from trapline.functions.classify import with_verdict
 from trapline.functions.display import (
     byte_size,
     details,
@@ -121,8 +121,7 @@ def classify_commands(spark, folder):
         .filter(F.col("input").isNotNull())
         .select(F.concat(F.lit("cmd-"), F.col("seq").cast("string")).alias("item"), F.col("input").alias("text"))
     )
-    found = texts.union(typed).withColumn("found", classify_command(F.col("text")))
-    return found.select("item", "found.intent", "found.mitre_id")
+    return with_verdict(texts.union(typed), F.col("text")).select("item", "found.intent", "found.mitre_id")
 
 
 @query
@@ -163,9 +162,8 @@ def repeated_lines(spark, folder):
     once = loglines.distinct_lines(lines)
     events = loglines.number_copies(loglines.parse_lines(once, AS_OF))
     return (
-        events.groupBy("session", "input")
+        events.groupBy(F.col("session_id").alias("session"), "input")
         .agg(F.count("*").alias("events"), F.count_distinct("id").alias("ids"))
-        .select("session", "input", "events", "ids")
     )
 
 
@@ -328,17 +326,13 @@ def merge_scores(spark, folder):
 def address_tests(spark, folder):
     """All address functions on every source address."""
     ip = F.col("src_ip")
-    return (
-        telemetry.raw_events(spark, folder)
-        .select("src_ip")
-        .distinct()
-        .select(
-            "src_ip",
-            is_private(ip).alias("private"),
-            is_valid_ip(ip).alias("valid"),
-            ip_to_long(ip).alias("number"),
-            mask_ip(ip).alias("masked"),
-        )
+    seen = telemetry.raw_events(spark, folder).select("src_ip").distinct()
+    return with_ip_number(seen, ip, "number").select(
+        "src_ip",
+        is_private(ip).alias("private"),
+        is_valid_ip(ip).alias("valid"),
+        "number",
+        mask_ip(ip).alias("masked"),
     )
 
 

@@ -43,7 +43,14 @@ REPORTS = """
     sha256 STRING, last_analysis_stats STRING, size BIGINT, type_description STRING, magic STRING
 """
 
+RAW_EVENTS = """
+    seq BIGINT, ts TIMESTAMP_NTZ, session STRING, src_ip STRING, eventid STRING, protocol STRING,
+    src_port INT, dst_port INT, username STRING, password STRING, input STRING, url STRING,
+    shasum STRING, outfile STRING, id BIGINT
+"""
+
 TABLES = {
+    "raw_events": RAW_EVENTS,
     "attempts": ATTEMPTS,
     "sessions": SESSIONS,
     "captured_files": CAPTURED_FILES,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.functions.times import clock, epoch_micros, parse_timestamp
-from trapline.operators.ingest import STORED_KINDS, event_kind
+from trapline.operators.ingest import STORED_KINDS, event_columns, event_kind
 
 # The keys read from a log object.
 FIELDS = [
@@ -41,11 +41,26 @@ def read_log_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
     return reader.load(folder).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def _with_object(lines: DataFrame) -> DataFrame:
-    """Non-blank lines with their parsed object and, where it could matter, its keys.
+def _null_value(event: Column, key: str) -> Column:
+    """True where the key is there with a null value."""
+    return event[key].isNull() & F.array_contains("present", key)
+
+
+def _failed(event: Column) -> Column:
+    """Well-formed lines that cannot be processed."""
+    stored = F.coalesce(event_kind(event["eventid"]).isin(*STORED_KINDS), F.lit(False))
+    return F.col("present").isNotNull() & (
+        _null_value(event, "timestamp")
+        | _null_value(event, "src_ip")
+        | (stored & (_null_value(event, "session") | _null_value(event, "protocol")))
+    )
+
+
+def _with_event(lines: DataFrame) -> DataFrame:
+    """Non-blank lines with their ``event``, null for malformed and failed lines.
 
     The line is parsed inside brackets: text after the object then makes it
-    malformed.  The keys are only listed for lines that contain ``null``, the
+    malformed.  ``present`` lists the keys of lines that contain ``null``, the
     only ones where a missing key and a null value can differ.
 
     The one-element explode keeps the parse in a step of its own.  Filters on
@@ -58,59 +73,36 @@ def _with_object(lines: DataFrame) -> DataFrame:
         _OBJECT,
         {"mode": "PERMISSIVE", "allowSingleQuotes": "false"},
     )
-    present = F.when(F.contains("line", F.lit("null")), F.json_object_keys("line"))
-    parsed = F.struct(F.when(braces, objects).alias("objects"), present.alias("present"))
-    return (
-        lines.withColumn("line", line)
-        .filter(F.col("line") != "")
-        .withColumn("parsed", F.explode_outer(F.array(parsed)))
-        .withColumn("event", F.when(F.size("parsed.objects") == 1, F.col("parsed.objects").getItem(0)))
-        .withColumn("present", F.col("parsed.present"))
-        .drop("parsed")
-    )
-
 
-def _null_value(field: str) -> Column:
-    """True where the key is there with a null value."""
-    return F.col(f"event.{field}").isNull() & F.coalesce(
-        F.array_contains("present", field), F.lit(False)
-    )
+    def usable(parsed: Column) -> Column:
+        return F.when((F.size(parsed) == 1) & ~_failed(parsed.getItem(0)), parsed.getItem(0))
 
-
-def _failed() -> Column:
-    """Well-formed lines that cannot be processed."""
-    stored = event_kind(F.col("event.eventid")).isin(*STORED_KINDS)
     return (
-        _null_value("timestamp")
-        | _null_value("src_ip")
-        | (stored & (_null_value("session") | _null_value("protocol")))
+        lines.withColumn("line", line)
+        .filter(F.col("line") != "")
+        .withColumn("present", F.when(F.contains("line", F.lit("null")), F.json_object_keys("line")))
+        .withColumn("event", F.explode_outer(F.transform(F.array(F.when(braces, objects)), usable)))
     )
 
 
 def parse_lines(lines: DataFrame, as_of: datetime | str | Column) -> DataFrame:
-    """Log lines to raw events; blank, malformed and failed lines are dropped.
+    """Log lines to events with defaults; blank, malformed and failed lines are dropped.
 
     ``as_of`` stands for the processing time, used where the timestamp text
     cannot be read.  ``id`` is a hash of file and line, so it survives retries;
-    ``number_copies`` makes the ids of repeated lines distinct.
+    ``number_copies`` makes the ids of repeated lines distinct.  ``seq``, the log
+    order, is the time in microseconds.
     """
     event = F.col("event")
-    ts = F.coalesce(parse_timestamp(event.timestamp), clock(as_of))
-    text = [event[name].alias(name) for name in FIELDS if name != "timestamp" and not name.endswith("_port")]
+    timestamp = F.coalesce(parse_timestamp(event["timestamp"]), clock(as_of)).alias("timestamp")
+    listed = F.col("present").isNotNull()
+    columns = event_columns(lambda key: event[key], lambda key: listed & F.array_contains("present", key))
     copies = [name for name in ("copies",) if name in lines.columns]
     return (
-        _with_object(lines)
-        .filter(event.isNotNull() & ~_failed())
-        .select(
-            F.xxhash64("file", "line").alias("id"),
-            ts.alias("ts"),
-            *text,
-            event.src_port.try_cast("int").alias("src_port"),
-            event.dst_port.try_cast("int").alias("dst_port"),
-            "present",
-            *copies,
-        )
-        .withColumn("seq", epoch_micros(F.col("ts")))
+        _with_event(lines)
+        .filter(event.isNotNull())
+        .select(F.xxhash64("file", "line").alias("id"), timestamp, *columns, *copies)
+        .withColumn("seq", epoch_micros(F.col("timestamp")))
     )
 
 
@@ -135,9 +127,8 @@ def ingest_report(lines: DataFrame) -> DataFrame:
 
     Ignored events and private sources count as ingested.
     """
-    wrong = F.col("event").isNull() | _failed()
     return (
-        _with_object(lines)
-        .agg(F.count("*").alias("total"), F.count_if(wrong).alias("errors"))
-        .select("total", (F.col("total") - F.col("errors")).alias("ingested"), "errors")
+        _with_event(lines)
+        .agg(F.count("*").alias("total"), F.count("event").alias("ingested"))
+        .select("total", "ingested", (F.col("total") - F.col("ingested")).alias("errors"))
     )

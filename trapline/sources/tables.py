@@ -24,14 +24,20 @@ def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: load_table(spark, folder, name) for name in TABLES}
 
 
-def append_table(frame: DataFrame, folder: str, name: str, mode: str = "append") -> None:
+def append_table(frame: DataFrame, folder: str, name: str, gather: bool = False) -> None:
     """Append rows to a stored table, in date folders where the table has them.
 
-    Each task writes its own file per date.  Log files hold a few days each, so
-    no shuffle is spent on grouping dates.
+    Each task writes its own file per date.  A log file covers few dates, so no
+    shuffle is spent on that as a rule.  ``gather`` shuffles the rows by date
+    first, for input whose tasks each see many dates; large dates are split and
+    small ones joined, to files of the advisory partition size.
     """
-    writer = _dated(frame, name).write.mode(mode)
-    if name in PARTITIONED_BY_DATE_OF:
+    frame = _dated(frame, name)
+    dated = name in PARTITIONED_BY_DATE_OF
+    if gather and dated:
+        frame = frame.hint("rebalance", DATE_COLUMN)
+    writer = frame.write.mode("append")
+    if dated:
         writer = writer.partitionBy(DATE_COLUMN)
     writer.parquet(f"{folder.rstrip('/')}/{name}")
 

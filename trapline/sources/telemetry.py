@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.operators.geo import enrich_geo
-from trapline.operators.ingest import build_attempts, captured_files, normalise
+from trapline.operators.ingest import build_attempts, captured_files, normalise, with_defaults
 from trapline.operators.sessions import build_sessions
 from trapline.operators.visitors import build_page_views
 from trapline.schemas import DATE_COLUMN
@@ -103,7 +103,10 @@ FROM {lines}
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A test table.  One that sits in fewer files than there are cores is spread over them."""
+    frame = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
 
 
 def _view(sql: str, table: str, spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +115,8 @@ def _view(sql: str, table: str, spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:
-    return _view(RAW_EVENTS, "events", spark, folder).withColumn("id", F.col("seq"))
+    """The sensor's events as structured rows, stored once per session."""
+    return stored(spark, folder, "raw_events")
 
 
 geo_ranges = partial(_view, GEO_RANGES, "nation")
@@ -124,11 +128,13 @@ requests = partial(_view, REQUESTS, "events")
 
 def events(spark: SparkSession, folder: str, keep_private: bool = False) -> DataFrame:
     """Normalised events, without places."""
-    return normalise(raw_events(spark, folder), keep_private)
+    return normalise(with_defaults(raw_events(spark, folder)), keep_private)
 
 
 def build_table(spark: SparkSession, folder: str, name: str, keep_private: bool = False) -> DataFrame:
     """One of the tables that ingest fills, computed from the raw events."""
+    if name == "raw_events":
+        return _view(RAW_EVENTS, "events", spark, folder).withColumn("id", F.col("seq"))
     if name == "page_views":
         return build_page_views(requests(spark, folder))
     public = events(spark, folder, keep_private)
@@ -150,7 +156,7 @@ def stored(spark: SparkSession, folder: str, name: str, keep_private: bool = Fal
     key = (spark.sparkContext.applicationId, folder, name, keep_private)
     if key not in _stores:
         target = work_folder(spark, "store")
-        append_table(build_table(spark, folder, name, keep_private), target, name)
+        append_table(build_table(spark, folder, name, keep_private), target, name, gather=True)
         _stores[key] = target
     return load_table(spark, _stores[key], name).drop(DATE_COLUMN)
 
