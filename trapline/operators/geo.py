@@ -61,7 +61,7 @@ def enrich_geo(events: DataFrame, geo_ranges: DataFrame, bucket_bits: int = 16,
     match = F.col("e._prefix") == F.col("r._prefix")
     if spread > 1:
         keyed = keyed.withColumn("_slice", F.pmod(row_hash, F.lit(spread)))
-        ranges = ranges.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).cast("bigint"))
+        ranges = ranges.withColumn("_slice", F.explode(F.array(*[F.lit(n).cast("bigint") for n in range(spread)])))
         match = match & (F.col("e._slice") == F.col("r._slice"))
     match = match & F.col("e._ip").between(F.col("r.start_ip"), F.col("r.end_ip"))
 
