@@ -22,6 +22,8 @@ SESSION_OPTIONS = {
     # Ingest steps whose generated code is larger run operator by operator
     # instead, which more than halves their time.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Do not record the Python call site of every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _local_base: dict[str, str] = {}
