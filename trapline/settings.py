@@ -20,7 +20,7 @@ SESSION_OPTIONS = {
     "spark.sql.files.maxPartitionBytes": "128MB",
     # The JVM never compiles a method of more than 8,000 bytes to machine code.
     # Ingest steps whose generated code is larger run operator by operator
-    # instead, which more than halves their time.
+    # instead, which about halves their time.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Do not record the Python call site of every column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
