@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.exact_dedup import exact_dedup
+from trapline.llm.language import identify
 from trapline.llm.packing import pack
+from trapline.llm.quality import quality
 from trapline.llm.shared import table
 from trapline.llm.tokens import token_counts
 
@@ -20,6 +22,14 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -28,6 +38,8 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_language": op5_language,
+    "op6_quality": op6_quality,
     "op10_packing": op10_packing,
 }
 
@@ -36,4 +48,45 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
          doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op6_quality": r"""
+        WITH words AS (
+          SELECT doc_id, lang, source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+          FROM documents),
+        windows AS (
+          SELECT doc_id, i, [words[i], words[i + 1], words[i + 2]] AS win
+          FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM words)),
+        repeated AS (
+          SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
+        covered AS (
+          SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM repeated)
+          GROUP BY doc_id),
+        counted AS (
+          SELECT w.doc_id, lang, source, len(words) AS n_words,
+           length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+           len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+          FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id),
+        measured AS (
+          SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           word_chars / nullif(n_words, 0) AS m, n_symbols / nullif(word_chars, 0) AS s,
+           n_dup_lines / nullif(n_lines, 0) AS d, n_repeat_words / nullif(n_words, 0) AS r FROM counted),
+        sorted AS (
+          SELECT lang, source, list_sort(list(m)) AS m, list_sort(list(s)) AS s, list_sort(list(d)) AS d, list_sort(list(r)) AS r,
+           CAST(ceil(0.25 * count(*)) AS INT) AS low, CAST(ceil(0.75 * count(*)) AS INT) AS high
+          FROM measured WHERE NOT base_failed GROUP BY lang, source),
+        fences AS (
+          SELECT lang, source, m[high] + greatest(3.0 * (m[high] - m[low]), 1.0) AS m_high,
+           m[low] - greatest(3.0 * (m[high] - m[low]), 1.0) AS m_low, s[high] + greatest(3.0 * (s[high] - s[low]), 0.2) AS s_high,
+           d[high] + greatest(3.0 * (d[high] - d[low]), 0.2) AS d_high, r[high] + greatest(3.0 * (r[high] - r[low]), 0.2) AS r_high
+          FROM sorted),
+        judged AS (
+          SELECT a.*, concat_ws(',', CASE WHEN m > m_high OR m < m_low THEN 'mean_word_chars' END,
+           CASE WHEN s > s_high THEN 'symbol_share' END, CASE WHEN d > d_high THEN 'dup_line_share' END,
+           CASE WHEN r > r_high THEN 'repeat_share' END) AS outliers
+          FROM measured a LEFT JOIN fences f ON a.lang IS NOT DISTINCT FROM f.lang AND a.source IS NOT DISTINCT FROM f.source)
+        SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+         n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outliers = '' AS kept, outliers
+        FROM judged""",
 }
