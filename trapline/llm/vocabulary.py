@@ -2,44 +2,87 @@
 
 from __future__ import annotations
 
+import json
+import string
 from functools import lru_cache
 
 import numpy as np
 
 # Words that a Python worker remembers, about 200 bytes each, twice over while a new set fills.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
+_PUNCTUATION = string.punctuation.encode()
 
 
 class WordTokenizer:
-    """Ids of a tokenizer whose pieces never reach over white space.
+    """Ids of a tokenizer that drops white space, lower-cases, and marks the last piece of a run of letters.
 
-    Such a tokenizer drops white space before it merges, so the ids of a text
-    are those of its words in a row, and equal words need encoding once.
+    No piece of such a tokenizer reaches over white space or from letters to
+    punctuation.  So the ids of a text are those of its words in a row, those
+    of a word are its letters' and its trailing ASCII punctuation's, and equal
+    words need encoding once.  New words of letters alone are encoded together
+    and told apart by their marked last pieces; if a word turns out to have
+    more or fewer than one, each is encoded by itself.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        suffix = described["model"].get("end_of_word_suffix")
+        kinds = [part.get("type") for part in (described["normalizer"] or {}).get("normalizers", [])]
+        if not suffix or "Lowercase" not in kinds:
+            raise ValueError("needs a tokenizer that lower-cases and marks the ends of words")
+        # Texts with the beginning of a special token are not lower-cased before.
+        self._special = [token["content"][:2].encode() for token in described["added_tokens"]]
+        vocabulary = self._tokenizer.get_vocab()
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._last[[number for piece, number in vocabulary.items() if piece.endswith(suffix)]] = True
         self._cached = cached
         self._recent: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text."""
-        # On bytes, split() knows exactly the ASCII white space.
-        split = [text.encode().split() for text in texts]
+        # On bytes, split() knows exactly the ASCII white space and lower() the ASCII letters.
+        raw = [text.encode() for text in texts]
+        split = [(t if any(s in t for s in self._special) else t.lower()).split() for t in raw]
         if len(self._recent) > self._cached:
             self._recent, self._older = {}, self._recent
+        recent = self._recent
+        self._learn(set().union(*split).difference(recent))
+        return [np.frombuffer(b"".join([recent[word] for word in words]), "<u4") for words in split]
+
+    def _learn(self, words: set[bytes]) -> None:
         recent, older = self._recent, self._older
-        missing = set().union(*split).difference(recent)
-        for word in missing.intersection(older):
+        for word in words.intersection(older):
             recent[word] = older[word]
-        new = list(missing.difference(older))
-        found = self._tokenizer.encode_batch_fast([word.decode() for word in new], add_special_tokens=False)
-        for word, one in zip(new, found):
-            recent[word] = np.array(one.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([recent[word] for word in words]), "<u4") for words in split]
+        words -= older.keys()
+        stems = {word: word.rstrip(_PUNCTUATION) for word in words}
+        ends = {word: word[len(stem) :] for word, stem in stems.items()}
+        letters, others = [], []
+        for part in set(stems.values()).union(ends.values()).difference(recent):
+            (letters if part.isalpha() or part.decode().isalpha() else others).append(part)
+        recent.update(zip(letters, self._together(letters)))
+        recent.update(zip(others, self._one_by_one(others)))
+        special = [word for word in words if any(s in word for s in self._special)]
+        for word, stem in stems.items():
+            recent[word] = recent[stem] + recent[ends[word]]
+        recent.update(zip(special, self._one_by_one(special)))
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        joined = b" ".join(words).decode()
+        ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self._last[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return self._one_by_one(words)
+        packed, cuts = ids.tobytes(), [0, *ends.tolist()]
+        return [packed[start:end] for start, end in zip(cuts, cuts[1:])]
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)
+        return [np.array(one.ids, "<u4").tobytes() for one in found]
 
 
 @lru_cache(maxsize=2)
