@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 import json
-import string
+import re
 from functools import lru_cache
 
 import numpy as np
 
 # Words that a Python worker remembers, about 200 bytes each, twice over while a new set fills.
 CACHED_WORDS = 400_000
-_PUNCTUATION = string.punctuation.encode()
+# ASCII punctuation after an ASCII letter, up to white space; not from an apostrophe on, which may belong to the letters.
+_TRAILING = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)(?=[\x20\x09-\x0D]|\Z)")
 
 
 class WordTokenizer:
     """Ids of a tokenizer that drops white space, lower-cases, and marks the last piece of a run of letters.
 
-    No piece of such a tokenizer reaches over white space or from letters to
-    punctuation.  So the ids of a text are those of its words in a row, those
-    of a word are its letters' and its trailing ASCII punctuation's, and equal
-    words need encoding once.  New words of letters alone are encoded together
-    and told apart by their marked last pieces; if a word turns out to have
-    more or fewer than one, each is encoded by itself.
+    No piece of such a tokenizer reaches over white space, or from a letter to the
+    punctuation after it.  So the ids of a text are those of its parts in a row,
+    and equal parts need encoding once.  New parts of letters alone are encoded
+    together and told apart by their marked last pieces; if they have more or
+    fewer than one each, all are encoded one by one.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -45,31 +45,28 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text."""
-        # On bytes, split() knows exactly the ASCII white space and lower() the ASCII letters.
-        raw = [text.encode() for text in texts]
-        split = [(t if any(s in t for s in self._special) else t.lower()).split() for t in raw]
+        split = [self._parts(text.encode()) for text in texts]
         if len(self._recent) > self._cached:
             self._recent, self._older = {}, self._recent
         recent = self._recent
         self._learn(set().union(*split).difference(recent))
-        return [np.frombuffer(b"".join([recent[word] for word in words]), "<u4") for words in split]
+        return [np.frombuffer(b"".join([recent[part] for part in parts]), "<u4") for parts in split]
+
+    def _parts(self, text: bytes) -> list[bytes]:
+        # On bytes, split() knows exactly the ASCII white space and lower() the ASCII letters.
+        if any(begin in text for begin in self._special):
+            return text.split()
+        return _TRAILING.sub(rb" \1", text.lower()).split()
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, parts: set[bytes]) -> None:
         recent, older = self._recent, self._older
-        for word in words.intersection(older):
-            recent[word] = older[word]
-        words -= older.keys()
-        stems = {word: word.rstrip(_PUNCTUATION) for word in words}
-        ends = {word: word[len(stem) :] for word, stem in stems.items()}
+        for part in parts.intersection(older):
+            recent[part] = older[part]
         letters, others = [], []
-        for part in set(stems.values()).union(ends.values()).difference(recent):
+        for part in parts.difference(older):
             (letters if part.isalpha() or part.decode().isalpha() else others).append(part)
         recent.update(zip(letters, self._together(letters)))
         recent.update(zip(others, self._one_by_one(others)))
-        special = [word for word in words if any(s in word for s in self._special)]
-        for word, stem in stems.items():
-            recent[word] = recent[stem] + recent[ends[word]]
-        recent.update(zip(special, self._one_by_one(special)))
 
     def _together(self, words: list[bytes]) -> list[bytes]:
         joined = b" ".join(words).decode()
