@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 
 from trapline.llm.exact_dedup import exact_dedup
 from trapline.llm.language import identify
+from trapline.llm.near_dedup import near_dedup
 from trapline.llm.packing import pack
 from trapline.llm.quality import quality
 from trapline.llm.shared import table
 from trapline.llm.tokens import token_counts
 
 
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup(table(spark, folder, "documents"), shingle_words=4)
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
@@ -36,6 +41,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,

@@ -25,9 +25,12 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        # Lower-case ASCII letters need no normalising: only white space is dropped before the merges.
+        self._bare = Tokenizer(self._tokenizer.model)
+        self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         suffix = described["model"].get("end_of_word_suffix")
@@ -50,7 +53,7 @@ class WordTokenizer:
             self._recent, self._older = {}, self._recent
         recent = self._recent
         self._learn(set().union(*split).difference(recent))
-        return [np.frombuffer(b"".join([recent[part] for part in parts]), "<u4") for parts in split]
+        return [np.frombuffer(b"".join(map(recent.__getitem__, parts)), "<u4") for parts in split]
 
     def _parts(self, text: bytes) -> list[bytes]:
         # On bytes, split() knows exactly the ASCII white space and lower() the ASCII letters.
@@ -62,15 +65,19 @@ class WordTokenizer:
         recent, older = self._recent, self._older
         for part in parts.intersection(older):
             recent[part] = older[part]
-        letters, others = [], []
+        plain, letters, others = [], [], []
         for part in parts.difference(older):
-            (letters if part.isalpha() or part.decode().isalpha() else others).append(part)
-        recent.update(zip(letters, self._together(letters)))
+            if part.isalpha() and part.islower():
+                plain.append(part)
+            else:
+                (letters if part.decode().isalpha() else others).append(part)
+        recent.update(zip(plain, self._together(self._bare, plain)))
+        recent.update(zip(letters, self._together(self._tokenizer, letters)))
         recent.update(zip(others, self._one_by_one(others)))
 
-    def _together(self, words: list[bytes]) -> list[bytes]:
+    def _together(self, tokenizer, words: list[bytes]) -> list[bytes]:
         joined = b" ".join(words).decode()
-        ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self._last[ids]) + 1) * 4
         if len(ends) != len(words):
             return self._one_by_one(words)
