@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.components import components
+from trapline.llm.components import components, partial_components
 from trapline.llm.shared import slices, written
 
 SHINGLE_WORDS = 5
@@ -30,8 +30,8 @@ BANDS = REGISTERS // BAND_REGISTERS
 DEVIATIONS = 5.0
 # Up to so many sets of a bucket are compared one with another; larger buckets are split by the rarest shingles of their members.
 BUCKET = 32
-# Turns of pairing with a pivot.
-TURNS = 2
+# Pivots of a bucket in each turn, before and after large buckets are split.
+PIVOTS = ((1, 1), (32, 128))
 # Shingles are counted in so many cells by the leading bits of their hashes, to order them by rarity.
 CELL_BITS = 20
 
@@ -253,26 +253,35 @@ def _split(large: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return lists.select("rep", "n", F.posexplode("firsts").alias("place", "key")).select("key", "rep", "n", "place")
 
 
+_MEMBER = ("rep", "n", "place", "label")
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with two sets or more: key, rep, n, place, members, least (the smallest size)."""
+    """Rows of buckets with two sets or more: key, rep, n, place, members, least (the smallest size), label (itself), degree."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"))
-    return written(rows.join(sizes.filter("members > 1"), "key"), "near-shared")
+    shared = rows.join(sizes.filter("members > 1"), "key")
+    return written(shared.select("*", F.col("rep").alias("label"), F.lit(0).cast("long").alias("degree")), "near-shared")
+
 
+def _with_pivots(rows: DataFrame, turn: int, pivots: int) -> DataFrame:
+    """Pairs (a, b) of every set with its bucket's pivots, if they have other labels.
 
-def _with_pivots(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of every set with its bucket's pivot: any member, another one in every bucket and turn."""
-    order = F.xxhash64("key", "rep", F.lit(turn))
-    pivots = rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "rep", "n", "place")).alias("pivot"))
-    columns = [F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("rep", "n", "place")]
-    paired = rows.select("key", *(F.col(c).alias(f"own_{c}") for c in ("rep", "n", "place")))
-    paired = paired.join(pivots.select("key", *columns), "key").filter("own_rep != pivot_rep")
+    Every bucket is dealt into ``pivots`` hands, and the pivot of a hand has the most links so far; among
+    equals, the order is the same in all buckets, so that the bands of a group have few pivots between them.
+    """
+    hand = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(pivots)).alias("hand")
+    order = F.struct(-F.col("degree"), F.xxhash64("rep", F.lit(turn)))
+    pivots = rows.groupBy("key", hand).agg(F.min(F.struct(order.alias("order"), *_MEMBER)).alias("pivot"))
+    columns = [F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in _MEMBER]
+    paired = rows.select("key", *(F.col(c).alias(f"own_{c}") for c in _MEMBER))
+    paired = paired.join(pivots.select("key", *columns), "key").filter("own_label != pivot_label")
     return paired.filter(_may_link("own", "pivot")).select(*_pair("own_rep", "pivot_rep"))
 
 
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a bucket but not a label."""
     left, right = (
-        rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "place", "label")))
+        rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in _MEMBER))
         for side in ("left", "right")
     )
     found = left.join(right, "key").filter("left_rep < right_rep AND left_label != right_label")
@@ -280,10 +289,15 @@ def _across(rows: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of buckets with members in different components, with their component as ``label``."""
-    labels = written(components(links), "near-labels")
-    labelled = rows.join(labels, rows.rep == labels.node, "left")
-    labelled = labelled.select(*rows.columns, F.coalesce("component", "rep").alias("label"))
+    """Rows of buckets with members in different components, with their component so far as ``label`` and number of links."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    labels = written(partial_components(links).join(degrees, "node"), "near-labels")
+    labelled = rows.drop("label", "degree").join(labels, rows.rep == labels.node, "left")
+    labelled = labelled.select(
+        *("key", "rep", "n", "place", "members", "least"),
+        F.coalesce("component", "rep").alias("label"),
+        F.coalesce("count", F.lit(0)).cast("long").alias("degree"),
+    )
     several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     return written(labelled.join(several.filter("low != high").select("key"), "key"), "near-mixed")
 
@@ -303,12 +317,14 @@ def _links(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     tested = links = None
     for last in (False, True):
         open_rows = _shared(rows)
-        for turn in range(TURNS):
-            tested, links = _tested(_with_pivots(open_rows, turn), tested, links, reps, docs, words)
+        # Sets that meet in a rare shingle have passed as good a filter as the estimate.
+        sketches = None if last else reps
+        for turn, pivots in enumerate(PIVOTS[last]):
+            tested, links = _tested(_with_pivots(open_rows, turn, pivots), tested, links, sketches, docs, words)
             # In buckets of two, the pivot's pair was all there is.
-            open_rows = _mixed(open_rows.filter("members > 2").select("key", "rep", "n", "place", "members", "least"), links)
+            open_rows = _mixed(open_rows.filter("members > 2"), links)
         compared = open_rows if last else open_rows.filter(F.col("members") <= BUCKET)
-        tested, links = _tested(_across(compared), tested, links, reps, docs, words)
+        tested, links = _tested(_across(compared), tested, links, sketches, docs, words)
         large = open_rows.filter(F.col("members") > BUCKET)
         if last or large.isEmpty():
             return links
@@ -316,12 +332,12 @@ def _links(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 
 def _tested(
-    pairs: DataFrame, before: DataFrame | None, links: DataFrame | None, reps: DataFrame, docs: DataFrame, words: int
+    pairs: DataFrame, before: DataFrame | None, links: DataFrame | None, sketches: DataFrame | None, docs: DataFrame, words: int
 ) -> tuple[DataFrame, DataFrame]:
     """Tested pairs and links, with those of ``pairs`` that had not been tested before."""
     pairs = pairs.distinct()
     new = written(pairs if before is None else pairs.join(before, ["a", "b"], "left_anti"), "near-pairs")
-    found = _confirmed(_estimated(new, reps), docs, words)
+    found = _confirmed(_estimated(new, sketches) if sketches else new, docs, words)
     if before is None:
         return new, found
     return before.unionByName(new), links.unionByName(found)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trapline.llm.exact_dedup import exact_dedup
 from trapline.llm.language import identify
+from trapline.llm.main_text import main_text
 from trapline.llm.near_dedup import near_dedup
 from trapline.llm.packing import pack
 from trapline.llm.quality import quality
@@ -35,6 +36,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"))
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -46,6 +51,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op8_main_text": op8_main_text,
     "op10_packing": op10_packing,
 }
 
