@@ -31,9 +31,9 @@ DEVIATIONS = 5.0
 # Up to so many sets of a bucket are compared one with another; larger buckets are split by the rarest shingles of their members.
 BUCKET = 32
 # Pivots of a bucket in each turn, before and after large buckets are split.
-PIVOTS = ((1, 1), (32, 128))
+PIVOTS = ((1,), (32, 128))
 # Shingles are counted in so many cells by the leading bits of their hashes, to order them by rarity.
-CELL_BITS = 20
+CELL_BITS = 18
 
 _draw = np.random.default_rng(2024)
 _BYTES = _draw.integers(1, 1 << 63, 256, np.uint64)

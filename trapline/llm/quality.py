@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.shared import SPACES, written
+from trapline.llm.shared import SPACES, without, written
 
 # A document is an outlier if a measure lies beyond the quartiles of its language and source
 # by more than so many interquartile ranges and by more than the measure's slack.
@@ -23,10 +21,6 @@ _SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 _SYMBOLS = tuple("#*$%&|<>")
 
 
-def _without(text: Column, parts: tuple[str, ...]) -> Column:
-    return reduce(lambda left, part: F.replace(left, F.lit(part)), parts, text)
-
-
 def _beside(array: str, i: Column) -> Column:
     """Window at place ``i``; null beyond the ends."""
     return F.get(F.col(array), i)["window"]
@@ -53,9 +47,9 @@ def measure(
         *keys,
         F.filter(F.split("text", SPACES, -1), lambda word: word != "").alias("words"),
         F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        (F.char_length("text") - F.char_length(_without(F.col("text"), _SPACES))).alias("spaces"),
+        (F.char_length("text") - F.char_length(without(F.col("text"), _SPACES))).alias("spaces"),
         F.char_length("text").alias("chars"),
-        F.char_length(_without(F.col("text"), _SYMBOLS)).alias("plain"),
+        F.char_length(without(F.col("text"), _SYMBOLS)).alias("plain"),
     )
     counted = split.select(
         *keys,

@@ -9,11 +9,33 @@ from pyspark.sql import functions as F
 from trapline.llm.exact_dedup import exact_dedup
 from trapline.llm.language import identify
 from trapline.llm.main_text import main_text
+from trapline.llm.mixing import BUDGET, CALIBRATION, MARGINS, ROUNDS, TEMPERATURE, mix
 from trapline.llm.near_dedup import near_dedup
 from trapline.llm.packing import pack
 from trapline.llm.quality import quality
+from trapline.llm.secret_scan import digest, scan
 from trapline.llm.shared import table
 from trapline.llm.tokens import token_counts
+from trapline.llm.tool_calls import calls_of_conversations, link_calls
+
+
+# What a call of the derived tool must look like.
+SCHEMAS = {
+    "reply": {
+        "type": "object",
+        "required": ["prompt", "words", "turn"],
+        "additionalProperties": False,
+        "properties": {
+            "prompt": {"type": "string", "minLength": 1, "maxLength": 350},
+            "words": {"type": "integer", "minimum": 5},
+            "turn": {"type": "integer", "minimum": 0},
+        },
+    }
+}
+
+
+def op1_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return link_calls(*calls_of_conversations(table(spark, folder, "conversations")), SCHEMAS)
 
 
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,25 +58,129 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"))
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix(table(spark, folder, "documents"))
+    return mixed.withColumn("probability", F.round("probability", 6))
+
+
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(table(spark, folder, "pages"))
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return digest(scan(table(spark, folder, "documents")))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 QUERIES = {
-    "op2_near_dedup": op2_near_dedup,
-    "op3_exact_dedup": op3_exact_dedup,
-    "op4_token_counts": op4_token_counts,
-    "op5_language": op5_language,
-    "op6_quality": op6_quality,
-    "op8_main_text": op8_main_text,
-    "op10_packing": op10_packing,
+    query.__name__: query
+    for query in (
+        op1_tool_calls,
+        op2_near_dedup,
+        op3_exact_dedup,
+        op4_token_counts,
+        op5_language,
+        op6_quality,
+        op7_mixing,
+        op8_main_text,
+        op9_secrets,
+        op10_packing,
+    )
 }
 
+
+def _raking_sql() -> str:
+    """Rounds of raking and of calibration, one common table each."""
+    steps = [
+        r"""measured AS (
+          SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+           CASE WHEN coalesce(text, '') = '' THEN 'empty'
+            WHEN 20 * (length(text) - length(regexp_replace(text, '[#$%&*]', '', 'g'))) >= length(text) THEN 'symbols'
+            WHEN 20 * (length(text) - length(replace(text, '|', ''))) >= length(text) THEN 'table'
+            WHEN 20 * (length(text) - length(replace(text, '!', ''))) >= length(text) THEN 'exclaim' ELSE 'prose' END AS topic,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens
+          FROM documents)""",
+        """w0 AS MATERIALIZED (
+          SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE AS weight FROM measured GROUP BY ALL)""",
+    ]
+    for margin in MARGINS:
+        steps.append(
+            f"""t_{margin} AS MATERIALIZED (
+          SELECT {margin}, pow(tokens, {TEMPERATURE}) / sum(pow(tokens, {TEMPERATURE})) OVER () AS share
+          FROM (SELECT {margin}, sum(tokens)::DOUBLE AS tokens FROM w0 GROUP BY 1) WHERE tokens > 0)"""
+        )
+    n = 0
+    for _ in range(ROUNDS):
+        for margin in MARGINS:
+            steps.append(
+                f"""w{n + 1} AS MATERIALIZED (
+          SELECT source, lang, topic, tokens, weight * coalesce(CASE WHEN s > 0 THEN share * total / s END, 0) AS weight
+          FROM (SELECT w.*, share, sum(weight) OVER (PARTITION BY w.{margin}) AS s, sum(tokens) OVER ()::DOUBLE AS total
+           FROM w{n} w LEFT JOIN t_{margin} t ON t.{margin} = w.{margin}))"""
+            )
+            n += 1
+    steps.append(
+        f"""r AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio,
+          sum(tokens) OVER () * {BUDGET} AS budget FROM w{n}),
+        c0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS c)"""
+    )
+    for i in range(CALIBRATION):
+        steps.append(
+            f"""c{i + 1} AS MATERIALIZED (
+          SELECT coalesce(greatest(any_value(c), (any_value(budget) - coalesce(sum(tokens) FILTER (c * ratio >= 1), 0))
+           / nullif(sum(weight) FILTER (c * ratio < 1), 0)), any_value(c)) AS c FROM r, c{i})"""
+        )
+    steps.append(f"chances AS (SELECT source, lang, topic, least(1.0, c * ratio) AS probability FROM r, c{CALIBRATION})")
+    return (
+        "WITH "
+        + ",\n        ".join(steps)
+        + """
+        SELECT doc_id, m.source, m.lang, m.topic, tokens, round(probability, 6) AS probability,
+         ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < probability AS kept
+        FROM measured m JOIN chances USING (source, lang, topic)"""
+    )
+
+
+def _secrets_sql() -> str:
+    """Spans by splitting at the matches; base kinds first."""
+    kinds = {
+        "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        "access": (r"AKIA[A-Z0-9]+", 0, 20),
+        "hex": (r"[0-9a-f]+", 0, 24),
+        "private_key": (r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", 0, 0),
+        "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+        "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+        "google": (r"AIza[A-Za-z0-9_-]{35}", 0, 0),
+        "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    }
+    parts = []
+    for order, (kind, (pattern, group, least)) in enumerate(kinds.items()):
+        parts.append(
+            f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, ends - length(match) AS s, ends AS e FROM (
+          SELECT doc_id, match, value, sum(length(gap) + length(match)) OVER (PARTITION BY doc_id ORDER BY i) AS ends
+          FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS match, unnest(v) AS value, unnest(g[1:len(m)]) AS gap
+           FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS v,
+             string_split_regex(text, '{pattern}') AS g FROM documents))) WHERE length(value) >= {least}"""
+        )
+    return (
+        "WITH spans AS ("
+        + "\n        UNION ALL ".join(parts)
+        + """),
+        grouped AS (
+          SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3) AS base,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans
+          FROM spans GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+         sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN grouped g ON g.doc_id = d.doc_id"""
+    )
+
+
 ORACLE_SQL = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -101,4 +227,6 @@ ORACLE_SQL = {
         SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
          n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outliers = '' AS kept, outliers
         FROM judged""",
+    "op7_mixing": _raking_sql(),
+    "op9_secrets": _secrets_sql(),
 }

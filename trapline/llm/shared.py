@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trapline.settings import work_folder
 
@@ -21,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def without(text: Column, parts: Sequence[str]) -> Column:
+    """The text without any of the parts."""
+    return reduce(lambda left, part: F.replace(left, F.lit(part)), parts, text)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Write to the cluster's shared folder and read again.
 
