@@ -16,7 +16,7 @@ from trapline.settings import work_folder
 SPACES = r"[\x20\x09-\x0D]+"
 
 # Python helpers look at so many characters at a time, whatever the size of a batch.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
