@@ -19,6 +19,9 @@ END = 2
 # Pieces are sorted and placed in blocks of about so many tokens.
 BLOCK_TOKENS = 1 << 21
 
+# Characters encoded together; new words are cheaper in larger numbers.
+SLICE_CHARS = 1 << 20
+
 # A task numbers its sequences from its partition number times this.
 _NUMBERS = 1 << 33
 
@@ -129,7 +132,7 @@ def pack(
         windows = OpenWindows(window, TaskContext.get().partitionId() * _NUMBERS)
         last = np.array([end], "<u4")
         block, tokens = [], 0
-        for doc_ids, texts in slices(batches, 1):
+        for doc_ids, texts in slices(batches, 1, SLICE_CHARS):
             for doc_id, ids in zip(doc_ids, tokenizer.encode(texts)):
                 block.append((doc_id, np.concatenate([ids, last])))
                 tokens += len(ids) + 1

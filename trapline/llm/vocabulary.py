@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 # Words that a Python worker remembers, about 200 bytes each, twice over while a new set fills.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 # ASCII punctuation after an ASCII letter, up to white space; not from an apostrophe on, which may belong to the letters.
 _TRAILING = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)(?=[\x20\x09-\x0D]|\Z)")
 
