@@ -24,10 +24,13 @@ MIX_BUDGET = 0.9
 
 
 def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents whose id has a verdict that holds; ids are written first, so few of them are broadcast by size."""
-    ids = verdicts.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    ids = written(ids, "pipeline-kept")
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.kept_id), "left_semi")
+    """Documents but those whose id has no verdict that holds.
+
+    Fewer go than stay, so the ids that go are written and joined: few are broadcast by their size, many shuffle.
+    """
+    gone = verdicts.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept")).filter("NOT kept")
+    gone = written(gone.select("gone_id"), "pipeline-gone")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

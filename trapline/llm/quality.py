@@ -111,19 +111,21 @@ def measure(
     )
 
 
-def _share(part: str, whole: str) -> Column:
-    """Part of whole; null where the whole is none."""
-    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
-
-
+# Each measure is a part of a whole.
 MEASURES = {
-    "mean_word_chars": _share("word_chars", "n_words"),
-    "symbol_share": _share("n_symbols", "word_chars"),
-    "dup_line_share": _share("n_dup_lines", "n_lines"),
-    "repeat_share": _share("n_repeat_words", "n_words"),
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbol_share": ("n_symbols", "word_chars"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"),
 }
 
 
+def _share(name: str) -> Column:
+    """Part of whole; null where the whole is none."""
+    part, whole = MEASURES[name]
+    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -136,7 +138,7 @@ def fences(measures: DataFrame, fence: float = FENCE) -> DataFrame:
     """
     grouped = measures.filter(~base_failed()).groupBy("lang", "source")
     quartiles = grouped.agg(
-        *(F.percentile_approx(value, [0.25, 0.75], ACCURACY).alias(name) for name, value in MEASURES.items())
+        *(F.percentile_approx(_share(name), [0.25, 0.75], ACCURACY).alias(name) for name in MEASURES)
     )
     bounds = []
     for name, slack in SLACK.items():
@@ -178,7 +180,8 @@ def quality(
         limits, measures.lang.eqNullSafe(limits.of_lang) & measures.source.eqNullSafe(limits.of_source), "left"
     )
     outside = []
-    for name, value in MEASURES.items():
+    for name in MEASURES:
+        value = _share(name)
         beyond = value > F.col(f"{name}_high")
         if name in TWO_SIDED:
             beyond = beyond | (value < F.col(f"{name}_low"))
