@@ -68,6 +68,8 @@ def _screen_words(pattern: str) -> list[str]:
     words = []
     for alternative in re.split(r"(?<!\\)\|", pattern):
         runs = re.split(r"\\s[+*]?|\\b|\.\*|\[[^\]]*\][+*]?|\$", alternative)
+        if any(re.search(r"(?<!\\)[?*+(){}^.]|\\[a-zA-Z0-9]", run) for run in runs):
+            raise ValueError(f"no plain text can be read off the rule {pattern!r}")
         words.append(max((re.sub(r"\\(.)", r"\1", run) for run in runs), key=len).lower())
     return words
 

@@ -38,9 +38,11 @@ def unique_ips(attempts: DataFrame, scores: DataFrame, limit: int = 50) -> DataF
         .limit(limit)
     )
     wanted = top.select(F.col("src_ip").alias("ip"))
-    found = scores.select("ip", *_SCORE_COLUMNS).join(F.broadcast(wanted), "ip", "left_semi")
+    scored = scores.select("ip", *_SCORE_COLUMNS).join(F.broadcast(wanted), "ip", "left_semi")
+    # One score per address, of several the highest: at most `limit` rows.
+    found = scored.groupBy("ip").agg(F.max(F.struct(*_SCORE_COLUMNS)).alias("score")).select("ip", "score.*")
     return (
-        top.join(F.broadcast(found), F.col("src_ip") == F.col("ip"), "left")  # ip is a key: at most `limit` rows
+        top.join(F.broadcast(found), F.col("src_ip") == F.col("ip"), "left")
         .drop("ip")
         .orderBy(F.desc("count"), "src_ip")
     )

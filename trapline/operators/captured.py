@@ -39,6 +39,10 @@ def enrich_files(files: DataFrame, reports: DataFrame) -> DataFrame:
             F.col("size").alias("_size"),
             F.coalesce(filled(F.col("type_description")), filled(F.col("magic")), F.lit("")).alias("_type"),
         )
+        # One report per hash: the one of most engines, then of most positive verdicts.
+        .groupBy("_sha256")
+        .agg(F.max(F.struct("_total", "_positives", "_size", "_type")).alias("_best"))
+        .select("_sha256", "_best.*")
     )
     known = F.col("_sha256").isNotNull()
     filled_in = {

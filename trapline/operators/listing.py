@@ -12,6 +12,9 @@ from trapline.operators.rankings import filter_options
 # Fixed value: how many transfers the transfers view shows.
 TRANSFERS_SHOWN = 100
 
+# The row number that Spark can still skip to.
+MAX_OFFSET = (1 << 31) - 1
+
 
 def filter_attempts(
     attempts: DataFrame,
@@ -36,6 +39,8 @@ def attempts_page(attempts: DataFrame, page: int = 1, limit: int = 50, **filters
     check_limit(limit, 200)
     if page < 1:
         raise ValueError("page must be at least 1")
+    if (page - 1) * limit > MAX_OFFSET:
+        raise ValueError(f"pages reach up to row {MAX_OFFSET}; narrow the filters")
     return newest_first(filter_attempts(attempts, **filters)).offset((page - 1) * limit).limit(limit)
 
 

@@ -29,14 +29,6 @@ SESSION_OPTIONS = {
 _local_base: dict[str, str] = {}
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Give a session that others made the code size limit, unless they chose one."""
-    name = "spark.sql.codegen.hugeMethodLimit"
-    if spark.conf.get(name) == "65535":  # Spark's default
-        spark.conf.set(name, SESSION_OPTIONS[name])
-    return spark
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the cluster's shared checkpoint folder.
 

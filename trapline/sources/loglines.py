@@ -28,14 +28,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def read_log_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def read_log_stream(
+    spark: SparkSession, folder: str, max_files_per_trigger: int | None = None, max_file_age: str = "36500d"
+) -> DataFrame:
     """New log files of a folder as they appear.
 
     The query's checkpoint remembers what was read, so rotation needs no
     handling.  A folder that does not exist yet must be created by the sensor's
-    shipper before the query starts.
+    shipper before the query starts.  Files are read however late they are
+    shipped; ``max_file_age`` makes the query forget, and skip, files that are older
+    than that against the newest one, which keeps the checkpoint small.
     """
-    reader = spark.readStream.format("text")
+    reader = spark.readStream.format("text").option("maxFileAge", max_file_age)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(folder).select("value", F.col("_metadata.file_path").alias("file"))

@@ -11,10 +11,11 @@ from trapline.operators.arguments import check_choice
 _LABELS = {"hour": hour_label, "day": day_label}
 
 
-def live_timeline(events: DataFrame, granularity: str = "hour", delay: str = "1 day") -> DataFrame:
+def live_timeline(events: DataFrame, granularity: str, delay: str) -> DataFrame:
     """Running counts of all feed events, session starts included.
 
-    ``delay`` is how late an event may come and still be counted; it also bounds
+    ``delay`` is how late an event may come and still be counted, so there is no
+    default: later events are dropped, and Spark's progress report counts them.  It also bounds
     the state to the buckets of that time.  Use update mode.  Day buckets are
     UTC days, which needs a session in UTC.
     """
