@@ -240,3 +240,21 @@ def test_stored_table_prunes(spark):
     assert "PartitionFilters: [isnotnull(event_date" in plan and "EqualTo(country_code,N1)" in plan
     assert "ReadSchema: struct<id:bigint,country_code:string>" in plan
     assert frame.count() == 1
+
+
+def test_repeated_reports_and_scores_do_not_multiply_rows(spark):
+    files = spark.createDataFrame(
+        [(1, "h", None, None, None, None, None)],
+        "id long, sha256 string, vt_positives int, vt_total int, vt_link string, file_size long, file_type string",
+    )
+    reports = spark.createDataFrame(
+        [("h", '{"malicious": 1, "undetected": 4}', 10, "a", "x"), ("h", '{"malicious": 2, "undetected": 9}', 20, "b", "y")],
+        "sha256 string, last_analysis_stats string, size long, type_description string, magic string",
+    )
+    found = captured.enrich_files(files, reports).collect()
+    assert [(row.vt_positives, row.vt_total, row.file_size, row.file_type) for row in found] == [(2, 11, 20, "b")]
+
+
+def test_a_page_beyond_what_spark_can_skip_is_refused(spark):
+    with pytest.raises(ValueError, match="pages reach"):
+        listing.attempts_page(spark.range(1), page=100_000_000, limit=200)
