@@ -23,6 +23,7 @@ from trapline.settings import SESSION_OPTIONS
 HEADLINE = [
     "attempts_normalised",
     "json_roundtrip",
+    "log_ingest",
     "session_rollup",
     "live_feed",
     "classify_commands",

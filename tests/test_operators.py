@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from trapline.operators import addresses, captured, geo, ingest, listing, maintain, rankings, sessions, timeline
 from trapline.operators.visitors import build_page_views
-from trapline.schemas import ATTEMPTS, GEO_RANGES, IP_SCORES
+from trapline.schemas import ATTEMPTS, CAPTURED_FILES, GEO_RANGES, IP_SCORES
 from trapline.settings import work_folder
 from trapline.sources import loglines, tables
+from trapline.streaming import sessions as tracked
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -66,6 +67,33 @@ def test_sessions_by_brute_force(spark, width):
     )
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sessions_of_late_events_and_compaction(spark, seed):
+    """Batches out of log order, merged between any two batches, count as the events arrived."""
+    rng = random.Random(seed)
+    kinds = ["connect", "login", "command", "transfer", "closed"]
+    data = [(n, f"s{rng.randrange(40)}", rng.choices(kinds, [1, 6, 6, 3, 1])[0]) for n in range(400)]
+    batch_of = [rng.randrange(5) for _ in data]
+    arrived = sorted(range(len(data)), key=lambda n: (batch_of[n], n))
+    columns = ["session_id", "login_attempts", "commands_run", "files_downloaded", "duration_secs"]
+    expected = sorted(
+        _sessions_by_hand([data[n] for n in arrived]), key=lambda r: tuple((v is None, str(v)) for v in r)
+    )
+    target = work_folder(spark, "parts")
+    for k in range(5):
+        batch = _events(spark, [row for row, b in zip(data, batch_of) if b == k])
+        sessions.session_parts(batch, 7, k).drop("batch").write.parquet(f"{target}/batch={k}")
+    state = None
+    for through in (1, 3):
+        into = work_folder(spark, "state")
+        tracked.compact_parts(spark, target, into, state, through)
+        state = into
+        assert rows(tracked.tracked_sessions(spark, target, state).select(*columns)) == expected
+    assert rows(tracked.tracked_sessions(spark, target).select(*columns)) == expected
+    with pytest.raises(ValueError, match="up to 3"):
+        tracked.stored_parts(spark, target, state, through=2)
+
+
 LINES = [
     '{"eventid":"cowrie.login.success","session":"a","src_ip":"8.8.8.8","timestamp":"2024-01-15T08:00:00Z","username":"root"}',
     '{"eventid":"cowrie.login.failed","session":"a","src_ip":"8.8.8.8","timestamp":"nonsense","username":null,"dst_port":null}',
@@ -222,6 +250,12 @@ def test_report_fills_only_empty(spark):
     assert [tuple(r) for r in got] == [(5, "elf", 0, 4), (9, "magic", 0, 4), (None, None, None, None)]
 
 
+def _plan(frame):
+    with contextlib.redirect_stdout(io.StringIO()) as printed:
+        frame.explain()
+    return printed.getvalue()
+
+
 def test_stored_table_prunes(spark):
     """Filters reach the files, dates skip folders, and only the used columns are read."""
     target = work_folder(spark, "prune")
@@ -234,12 +268,58 @@ def test_stored_table_prunes(spark):
     tables.write_attempts(attempts, target)
     stored = tables.load_table(spark, target, "attempts")
     frame = listing.filter_attempts(stored.filter("event_date = date'2024-01-17'"), country=["N1"]).select("id")
-    with contextlib.redirect_stdout(io.StringIO()) as printed:
-        frame.explain()
-    plan = printed.getvalue()
+    plan = _plan(frame)
     assert "PartitionFilters: [isnotnull(event_date" in plan and "EqualTo(country_code,N1)" in plan
     assert "ReadSchema: struct<id:bigint,country_code:string>" in plan
     assert frame.count() == 1
+    hours = timeline.timeline(stored, "2024-01-18 12:00:00", "hour", 1)
+    assert "PartitionFilters: [isnotnull(event_date" in _plan(hours)
+    assert sum(row["count"] for row in hours.collect()) == 1
+    # Pages by the last row seen are those by number.
+    shown = [row.id for row in listing.newest_first(stored).collect()]
+    last, paged = ("9999-12-31 00:00:00", 0), []
+    while page := listing.attempts_after(stored, last, limit=3).collect():
+        paged += [row.id for row in page]
+        last = (page[-1].timestamp, page[-1].id)
+    assert paged == shown and len(shown) == 10
+    older = listing.attempts_after(stored, ("2024-01-17 00:00:00", 2), limit=3)
+    assert "PartitionFilters: [isnotnull(event_date" in _plan(older)
+    one = listing.get_attempt(stored, 2, datetime(2024, 1, 17).date())
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(event_date" in _plan(one)
+
+
+@pytest.mark.parametrize("stream_first", [False, True])
+def test_batch_and_stream_fill_one_table(spark, stream_first):
+    """No row is hidden, whoever writes first, and a repeated batch replaces its own rows only."""
+    target, log = work_folder(spark, "mixed"), work_folder(spark, "in")
+    files = spark.createDataFrame([], CAPTURED_FILES).unionByName(
+        spark.range(3).select("id", F.expr("timestamp_ntz'2024-01-15 00:00:00'").alias("timestamp")), allowMissingColumns=True
+    )
+    files.write.parquet(log)
+
+    def stream(checkpoint):
+        reader = spark.readStream.schema(files.schema).parquet(log)
+        writer = tables.stream_table(reader, target, "captured_files", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    checkpoint = work_folder(spark, "checkpoint")
+    steps = [lambda: stream(checkpoint), lambda: tables.write_captured(files, target)]
+    for step in steps if stream_first else reversed(steps):
+        step()
+    assert tables.load_table(spark, target, "captured_files").count() == 6
+    tables.write_captured(files, target)
+    stream(checkpoint)  # nothing new
+    assert tables.load_table(spark, target, "captured_files").count() == 9
+    stream(work_folder(spark, "checkpoint"))
+    assert tables.load_table(spark, target, "captured_files").count() == 12
+
+
+def test_a_line_of_many_copies(spark):
+    """More copies than a piece holds are expanded in pieces, with ids of their own."""
+    events = spark.createDataFrame([(1, 250_001), (2, 1), (3, 2)], "id long, copies long")
+    found = loglines.number_copies(events)
+    assert tuple(found.agg(F.count("*"), F.countDistinct("id")).first()) == (250_004, 250_004)
+    assert {row.id for row in found.filter("copy = 1").collect()} == {1, 2, 3}
 
 
 def test_repeated_reports_and_scores_do_not_multiply_rows(spark):

@@ -62,10 +62,6 @@ def start_of_day(ts: Column) -> Column:
     return ts.cast("date").cast("timestamp_ntz")
 
 
-def start_of_hour(ts: Column) -> Column:
-    return F.concat(hour_label(ts), F.lit(":00")).cast("timestamp_ntz")
-
-
 def day_label(ts: Column) -> Column:
     return F.substring(ts.cast("string"), 1, 10)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.display import filled, intent_label
+from trapline.functions.times import clock
 from trapline.operators.arguments import check_choice, check_limit
 from trapline.operators.rankings import filter_options
+from trapline.schemas import DATE_COLUMN
 
 # Fixed value: how many transfers the transfers view shows.
 TRANSFERS_SHOWN = 100
@@ -44,6 +48,21 @@ def attempts_page(attempts: DataFrame, page: int = 1, limit: int = 50, **filters
     return newest_first(filter_attempts(attempts, **filters)).offset((page - 1) * limit).limit(limit)
 
 
+def attempts_after(attempts: DataFrame, last: tuple[datetime | str, int], limit: int = 50, **filters) -> DataFrame:
+    """The page that follows the row of this timestamp and id, newest first.
+
+    The rows before it are neither sorted nor counted, so a page costs the same at any depth; later days
+    are not opened where the table shows its folder date.
+    """
+    check_limit(limit, 200)
+    stamp = datetime.fromisoformat(str(last[0]))
+    ts = F.col("timestamp")
+    older = (ts < clock(stamp)) | ((ts == clock(stamp)) & (F.col("id") < last[1]))
+    if DATE_COLUMN in attempts.columns:
+        older &= F.col(DATE_COLUMN) <= F.lit(stamp.date())
+    return newest_first(filter_attempts(attempts, **filters).filter(older)).limit(limit)
+
+
 def page_info(attempts: DataFrame, page: int = 1, limit: int = 50, **filters) -> DataFrame:
     """One row: matching attempts, page number, number of pages (at least one)."""
     check_limit(limit, 200)
@@ -60,9 +79,10 @@ def recent_attempts(attempts: DataFrame, limit: int = 50) -> DataFrame:
     return newest_first(attempts).limit(limit)
 
 
-def get_attempt(attempts: DataFrame, attempt_id: int) -> DataFrame:
-    """The attempt with this id; no row means not found."""
-    return attempts.filter(F.col("id") == attempt_id)
+def get_attempt(attempts: DataFrame, attempt_id: int, day: date | None = None) -> DataFrame:
+    """The attempt with this id; no row means not found.  With its ``day``, only that date folder is read."""
+    found = attempts.filter(F.col("id") == attempt_id)
+    return found if day is None else found.filter(F.col(DATE_COLUMN) == F.lit(day))
 
 
 def search_options(attempts: DataFrame, kind: str, text: str) -> DataFrame:

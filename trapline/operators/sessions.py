@@ -1,7 +1,7 @@
 """Sessions: one row per connection, with counters that start at its first connect.
 
-Log order matters: an event counts for its session only if the connect came
-earlier.  A session is not gathered in one task for that.  Its events are cut
+Order matters: an event counts for its session only if the connect arrived
+earlier.  What arrives together, all lines of a batch, has the order of the log.  A session is not gathered in one task for that.  Its events are cut
 into slices of log order; each slice is reduced to one small row that holds the
 counts of the whole slice and the counts after the slice's own first connect.
 The slice that holds the session's first connect contributes the latter, all
@@ -27,7 +27,7 @@ _COUNTERS = {"login": "login_attempts", "command": "commands_run", "transfer": "
 def session_parts(events: DataFrame, slice_width: int = SLICE_WIDTH, batch: int = 0) -> DataFrame:
     """One row per session and slice of ``seq``.
 
-    ``batch`` numbers the arrivals of a stream; it only orders parts that start at the same ``seq``.
+    ``batch`` numbers the arrivals of a stream: parts of a later batch come after all of the earlier ones.
     """
     kind = F.col("kind")
     narrow = events.select(
@@ -65,9 +65,11 @@ def session_parts(events: DataFrame, slice_width: int = SLICE_WIDTH, batch: int
 def merge_parts(parts: DataFrame) -> DataFrame:
     """All parts of each session as one part.
 
-    Merging is associative, so any run of parts may be replaced by its merger.
+    Parts are in the order of their batch, and within a batch in that of the log.  Merging is associative, so parts that
+    follow one another in this order, such as those of all batches up to one, may be replaced by their merger,
+    however late the events of later batches are.
     """
-    placed = parts.withColumn("place", F.struct("first_seq", "batch")).withColumn(
+    placed = parts.withColumn("place", F.struct("batch", "first_seq")).withColumn(
         "start", F.min(F.when(F.col("opened").isNotNull(), F.col("place"))).over(W.partitionBy("session_id"))
     )
 

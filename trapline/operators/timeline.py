@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trapline.functions.times import clock, day_label, hour_label
 from trapline.operators.arguments import check_choice, check_range
+from trapline.schemas import DATE_COLUMN
 
 # The offered time frames (label, days, granularity).
 TIMEFRAMES = [("6h", 0.25, "hour"), ("24h", 1.0, "hour"), ("7d", 7.0, "day"), ("30d", 30.0, "day")]
@@ -23,8 +24,9 @@ def timeline(
     """Attempts of the last ``days`` per local hour or day, zero where there are none.
 
     ``tz_offset`` is in minutes.  The first bucket holds only what lies after
-    the start.  The bounds are literals on the timestamp and reach the scan; the
-    calendar has at most 2,161 rows.
+    the start.  The bounds are literals on the timestamp, and on the folder date
+    where the table shows it, so other days are not opened; the calendar has at
+    most 2,161 rows.
     """
     check_choice("granularity", granularity, _STEPS)
     check_range("days", days, 0.1, 90)
@@ -41,8 +43,11 @@ def timeline(
     label = _LABELS[granularity]
     local = F.col("timestamp") + F.expr(f"INTERVAL '{tz_offset}' MINUTE")
     ts = F.col("timestamp")
+    within = (ts >= clock(since)) & (ts < clock(end))
+    if DATE_COLUMN in attempts.columns:
+        within &= F.col(DATE_COLUMN).between(F.lit(since.date()), F.lit(end.date()))
     counts = (
-        attempts.filter((ts >= clock(since)) & (ts < clock(end)))
+        attempts.filter(within)
         .groupBy(label(local).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
@@ -55,11 +60,3 @@ def timeline(
         .select("bucket", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))
         .orderBy("bucket")
     )
-
-
-def timeframe(attempts: DataFrame, as_of: datetime | str, label: str, tz_offset: int = 0) -> DataFrame:
-    """The timeline of one offered time frame."""
-    frames = {name: (days, granularity) for name, days, granularity in TIMEFRAMES}
-    check_choice("label", label, frames)
-    days, granularity = frames[label]
-    return timeline(attempts, as_of, granularity, days, tz_offset)

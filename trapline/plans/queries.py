@@ -62,6 +62,10 @@ def _attempts(spark, folder):
     return telemetry.attempts(spark, folder)
 
 
+def _dated_attempts(spark, folder):
+    return telemetry.attempts(spark, folder, dated=True)
+
+
 def _scores(spark, folder):
     return telemetry.ip_scores(spark, folder)
 
@@ -246,23 +250,23 @@ def daily_stats(spark, folder):
 
 @query
 def timeline_hour(spark, folder):
-    return timeline.timeline(_attempts(spark, folder), AS_OF, "hour", 2.3, 0)
+    return timeline.timeline(_dated_attempts(spark, folder), AS_OF, "hour", 2.3, 0)
 
 
 @query
 def timeline_day_tz(spark, folder):
-    return timeline.timeline(_attempts(spark, folder), AS_OF, "day", 30, -330)
+    return timeline.timeline(_dated_attempts(spark, folder), AS_OF, "day", 30, -330)
 
 
 @query
 def timeline_before_the_end(spark, folder):
     """A clock in the middle of the data: later attempts must not show."""
-    return timeline.timeline(_attempts(spark, folder), "2024-01-15 13:20:00", "hour", 1.5, 345)
+    return timeline.timeline(_dated_attempts(spark, folder), "2024-01-15 13:20:00", "hour", 1.5, 345)
 
 
 @query
 def timeframe_presets(spark, folder):
-    return pages.timeframes(_attempts(spark, folder), AS_OF)
+    return pages.timeframes(_dated_attempts(spark, folder), AS_OF)
 
 
 @query

@@ -464,6 +464,11 @@ SELECT strftime(timestamp, '%Y-%m-%d %H:00') AS bucket, count(*) AS count FROM p
     "stream_unscored": "SELECT DISTINCT src_ip FROM bare_attempts WHERE src_ip NOT IN (SELECT ip FROM ip_scores)",
 }
 QUERIES["stream_overview"] = QUERIES["overview"]
+QUERIES["log_ingest"] = QUERIES["stream_attempts"]
+QUERIES["stream_late_file"] = """
+SELECT session_id, timestamp, event_id AS detail FROM attempts UNION ALL SELECT session_id, timestamp, sha256 FROM captured"""
+QUERIES["store_mixed"] = f"""
+SELECT unnest(['batch first', 'stream first']) AS way, * FROM ({QUERIES["stream_late_file"].strip()})"""
 
 
 def _used_by(text: str, found: list[str]) -> list[str]:

@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 
 from trapline.operators import listing
 from trapline.operators.geo import enrich_geo
-from trapline.operators.ingest import build_attempts
+from trapline.operators.ingest import build_attempts, captured_files, normalise
 from trapline.operators.sessions import locate_sessions
 from trapline.settings import work_folder
 from trapline.sources import tables, telemetry
-from trapline.sources.loglines import read_log, read_log_stream
+from trapline.sources.loglines import parse_lines, read_log, read_log_stream
 from trapline.sources.telemetry import AS_OF
 from trapline.streaming import ingest, reputation, sessions, timeline
 from trapline.streaming import rankings as running
 
-LOG_FILES = 4
+# The log arrives in so many batches, each of one file or more of about so many lines.
+BATCHES = 4
+FILE_LINES = 1_000_000
+# Seconds between the modification times of a log file and the next.
+FILE_SECONDS = 10
+LATE_SECONDS = 30 * 86_400
 
 QUERIES = {}
 
@@ -31,11 +36,33 @@ def query(function):
     return function
 
 
+def _files_per_batch(lines: DataFrame) -> int:
+    return max(1, -(-lines.count() // (BATCHES * FILE_LINES)))
+
+
+def _write_files(lines: DataFrame, files: int, target: str) -> None:
+    lines.repartitionByRange(files, "seq").sortWithinPartitions("seq").select("line").write.mode("append").text(target)
+
+
+def _ship(spark: SparkSession, target: str, seconds_ago: int) -> None:
+    """Give log files the modification times of a sensor that closes one after the other, the first so long ago."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    start = jvm.java.lang.System.currentTimeMillis() - 1000 * seconds_ago
+    names = sorted(status.getPath().getName() for status in system.listStatus(path))
+    for place, name in enumerate(name for name in names if name.startswith("part-")):
+        file = jvm.org.apache.hadoop.fs.Path(path, name)
+        system.setTimes(file, start + 1000 * FILE_SECONDS * place, -1)
+
+
 def write_log(spark: SparkSession, folder: str) -> str:
-    """The derived log as a folder of JSON-lines files, each a run of log order."""
+    """The derived log as a folder of JSON-lines files, each a run of log order and older than the next."""
     target = work_folder(spark, "log")
-    lines = telemetry.log_lines(spark, folder).repartitionByRange(LOG_FILES, "seq").sortWithinPartitions("seq")
-    lines.select("line").write.text(target)
+    lines = telemetry.log_lines(spark, folder)
+    files = BATCHES * _files_per_batch(lines)
+    _write_files(lines, files, target)
+    _ship(spark, target, FILE_SECONDS * files)
     return target
 
 
@@ -46,7 +73,8 @@ def finish(writer) -> None:
 
 
 def _log_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.events_of(read_log_stream(spark, write_log(spark, folder), max_files_per_trigger=1), AS_OF)
+    files = _files_per_batch(telemetry.log_lines(spark, folder))
+    return ingest.events_of(read_log_stream(spark, write_log(spark, folder), max_files_per_trigger=files), AS_OF)
 
 
 def _located_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,11 +150,92 @@ def stream_sessions(spark, folder):
 
 @query
 def stream_sessions_compacted(spark, folder):
-    """The same after the stored parts were merged to one per session."""
-    target, compact = work_folder(spark, "parts"), work_folder(spark, "compact")
+    """The same from a state of the first three batches, merged in two turns, and the last batch."""
+    target, first, second = (work_folder(spark, name) for name in ("parts", "compact", "compact"))
     finish(sessions.track_sessions(_log_stream(spark, folder), target, f"{target}-state"))
-    sessions.compact_parts(spark, target, compact)
-    return sessions.tracked_sessions(spark, compact)
+    sessions.compact_parts(spark, target, first, through=1)
+    sessions.compact_parts(spark, target, second, state=first, through=2)
+    return sessions.tracked_sessions(spark, target, second)
+
+
+def _halves(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """The log in two folders, every other line in each."""
+    lines = telemetry.log_lines(spark, folder)
+    files = BATCHES * _files_per_batch(lines)
+    targets = tuple(work_folder(spark, "log") for _ in range(2))
+    for remainder, target in enumerate(targets):
+        _write_files(lines.filter(F.col("seq") % 2 == remainder), files, target)
+    return targets
+
+
+def _ingest(spark: SparkSession, folder: str, log: str, target: str) -> None:
+    events = normalise(parse_lines(read_log(spark, log), AS_OF))
+    located = enrich_geo(events, telemetry.geo_ranges(spark, folder))
+    tables.write_attempts(build_attempts(located), target)
+    tables.write_captured(captured_files(events), target)
+
+
+def _ingest_stream(spark: SparkSession, folder: str, log: str, target: str) -> None:
+    events = ingest.events_of(read_log_stream(spark, log), AS_OF)
+    ranges = telemetry.geo_ranges(spark, folder)
+    finish(ingest.store_attempts(events, ranges, target, f"{target}-attempts"))
+    finish(ingest.store_captured(events, target, f"{target}-captured"))
+
+
+def _stored_kinds(spark: SparkSession, target: str) -> DataFrame:
+    """What a store holds, in the columns that its attempts and captured files have in common."""
+    attempts = tables.load_table(spark, target, "attempts")
+    files = tables.load_table(spark, target, "captured_files")
+    return attempts.select("session_id", "timestamp", F.col("event_id").alias("detail")).unionByName(
+        files.select("session_id", "timestamp", F.col("sha256").alias("detail"))
+    )
+
+
+@query
+def log_ingest(spark, folder):
+    """Backfill: log files to stored attempts and captured files, read back."""
+    target = work_folder(spark, "store")
+    _ingest(spark, folder, write_log(spark, folder), target)
+    return tables.load_table(spark, target, "attempts").drop("id", tables.DATE_COLUMN)
+
+
+@query
+def store_mixed(spark, folder):
+    """One half of the log by a batch job and the other by streams into one store, in either order."""
+    first, second = _halves(spark, folder)
+    ways = []
+    for way, steps in (("batch first", (_ingest, _ingest_stream)), ("stream first", (_ingest_stream, _ingest))):
+        target = work_folder(spark, "store")
+        for step, log in zip(steps, (first, second)):
+            step(spark, folder, log, target)
+        ways.append(_stored_kinds(spark, target).withColumn("way", F.lit(way)))
+    return ways[0].unionByName(ways[1])
+
+
+@query
+def stream_late_file(spark, folder):
+    """Half of the log is shipped a month late, after a first run over the other half."""
+    log, target = work_folder(spark, "log"), work_folder(spark, "store")
+    lines = telemetry.log_lines(spark, folder)
+    for remainder, age in ((0, 0), (1, LATE_SECONDS)):
+        part = work_folder(spark, "log")
+        _write_files(lines.filter(F.col("seq") % 2 == remainder), BATCHES * _files_per_batch(lines), part)
+        _ship(spark, part, age)
+        _move(spark, part, log)
+        _ingest_stream(spark, folder, log, target)
+    return _stored_kinds(spark, target)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Log files into another folder, with their modification times."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(jvm.org.apache.hadoop.fs.Path(target))
+    for status in system.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            system.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(target, name))
 
 
 @query

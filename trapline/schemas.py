@@ -64,3 +64,5 @@ TABLES = {
 # Tables that are stored in date folders, with the column the date comes from.
 PARTITIONED_BY_DATE_OF = {"attempts": "timestamp", "captured_files": "timestamp", "page_views": "visited_at"}
 DATE_COLUMN = "event_date"
+# The folder of one append, below the table's.
+ARRIVAL_COLUMN = "arrival"

@@ -23,6 +23,10 @@ _BLANK = (
 )
 
 
+# Copies of a line that are expanded together.
+PIECE = 100_000
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Every line of a log file, or of a folder of log files, from the beginning."""
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
@@ -120,8 +124,18 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 
 def number_copies(events: DataFrame) -> DataFrame:
-    """Expand ``copies`` back to single events whose ids are all distinct."""
-    return events.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).withColumn(
+    """Expand ``copies`` back to single events whose ids are all distinct.
+
+    A line of more than PIECE copies is cut into pieces that are dealt to all tasks, so no task expands
+    more than a piece at once.
+    """
+    first = F.lit(1).cast("bigint")
+    few = events.filter(F.col("copies") <= PIECE).withColumn("copy", F.explode(F.sequence(first, F.col("copies"))))
+    starts = F.sequence(first, F.col("copies"), F.lit(PIECE).cast("bigint"))
+    many = events.filter(F.col("copies") > PIECE).withColumn("start", F.explode(starts))
+    ends = F.least(F.col("start") + (PIECE - 1), F.col("copies"))
+    pieces = many.repartition(F.xxhash64("id", "start")).withColumn("copy", F.explode(F.sequence("start", ends)))
+    return few.unionByName(pieces.drop("start")).withColumn(
         "id", F.when(F.col("copy") == 1, F.col("id")).otherwise(F.xxhash64("id", "copy"))
     )
 

@@ -1,27 +1,38 @@
-"""Stored tables: typed scans and appends."""
+"""Stored tables: typed scans and appends, from batch jobs and streams alike.
+
+A table's folder holds one folder per arrival, and in it date folders where the
+table has them.  Batch appends share one arrival; each batch of a stream has its
+own, which a repeated batch overwrites as a whole.  So rows are there exactly
+once, and one plain scan shows what batch jobs and streams have written.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.schemas import DATE_COLUMN, PARTITIONED_BY_DATE_OF, TABLES
+from trapline.schemas import ARRIVAL_COLUMN, DATE_COLUMN, PARTITIONED_BY_DATE_OF, TABLES
+
+# The arrival that all batch appends share.
+BATCH_ARRIVAL = "batch"
+
+
+def _path(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name}"
 
 
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One stored table with its declared schema.
+    """One stored table with its declared schema, whoever wrote it.
 
     Tables in date folders show the folder date as ``event_date``; a filter on
     it skips whole folders.
     """
-    schema = TABLES[name]
+    schema = f"{TABLES[name]}, {ARRIVAL_COLUMN} STRING"
     if name in PARTITIONED_BY_DATE_OF:
         schema = f"{schema}, {DATE_COLUMN} DATE"
-    return spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{name}")
-
-
-def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: load_table(spark, folder, name) for name in TABLES}
+    return spark.read.schema(schema).parquet(_path(folder, name)).drop(ARRIVAL_COLUMN)
 
 
 def append_table(frame: DataFrame, folder: str, name: str, gather: bool = False) -> None:
@@ -32,21 +43,20 @@ def append_table(frame: DataFrame, folder: str, name: str, gather: bool = False)
     first, for input whose tasks each see many dates; large dates are split and
     small ones joined, to files of the advisory partition size.
     """
-    frame = _dated(frame, name)
-    dated = name in PARTITIONED_BY_DATE_OF
-    if gather and dated:
-        frame = frame.hint("rebalance", DATE_COLUMN)
-    writer = frame.write.mode("append")
-    if dated:
-        writer = writer.partitionBy(DATE_COLUMN)
-    writer.parquet(f"{folder.rstrip('/')}/{name}")
+    _write(frame, folder, name, BATCH_ARRIVAL, "append", gather)
 
 
-def _dated(frame: DataFrame, name: str) -> DataFrame:
+def _write(frame: DataFrame, folder: str, name: str, arrival: str, mode: str, gather: bool = False) -> None:
     column = PARTITIONED_BY_DATE_OF.get(name)
-    if column is None:
-        return frame
-    return frame.withColumn(DATE_COLUMN, F.col(column).cast("date"))
+    if column is not None:
+        frame = frame.withColumn(DATE_COLUMN, F.col(column).cast("date"))
+        if gather:
+            frame = frame.hint("rebalance", DATE_COLUMN)
+    # The whole arrival is replaced, whatever the session says about overwriting single date folders.
+    writer = frame.write.mode(mode).option("partitionOverwriteMode", "static")
+    if column is not None:
+        writer = writer.partitionBy(DATE_COLUMN)
+    writer.parquet(f"{_path(folder, name)}/{ARRIVAL_COLUMN}={arrival}")
 
 
 def write_attempts(attempts: DataFrame, folder: str) -> None:
@@ -58,11 +68,14 @@ def write_captured(files: DataFrame, folder: str) -> None:
 
 
 def stream_table(frame: DataFrame, folder: str, name: str, checkpoint: str):
-    """A started-ready writer that appends a stream to a stored table exactly once."""
-    writer = (
-        _dated(frame, name)
-        .writeStream.format("parquet")
-        .option("path", f"{folder.rstrip('/')}/{name}")
-        .option("checkpointLocation", checkpoint)
-    )
-    return writer.partitionBy(DATE_COLUMN) if name in PARTITIONED_BY_DATE_OF else writer
+    """A started-ready writer that appends a stream to a stored table exactly once.
+
+    Arrivals are named after the checkpoint and the batch, so several streams can
+    fill one table, together with batch appends.  A new checkpoint is a new stream.
+    """
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        _write(batch, folder, name, f"{stream}-{batch_id}", "overwrite")
+
+    return frame.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -145,8 +145,10 @@ def build_table(spark: SparkSession, folder: str, name: str, keep_private: bool
     return captured_files(public).withColumn("yara_matches", F.expr(matches))
 
 
-def stored(spark: SparkSession, folder: str, name: str, keep_private: bool = False) -> DataFrame:
-    """The same table, ingested once per session and read back from storage.
+def stored(
+    spark: SparkSession, folder: str, name: str, keep_private: bool = False, dated: bool = False
+) -> DataFrame:
+    """The same table, ingested once per session and read back from storage; ``dated`` shows the folder date too.
 
     Most queries start here: as in production, they scan a stored table and not
     the raw log.
@@ -156,11 +158,12 @@ def stored(spark: SparkSession, folder: str, name: str, keep_private: bool = Fal
         target = work_folder(spark, "store")
         append_table(build_table(spark, folder, name, keep_private), target, name, gather=True)
         _stores[key] = target
-    return load_table(spark, _stores[key], name).drop(DATE_COLUMN)
+    table = load_table(spark, _stores[key], name)
+    return table if dated else table.drop(DATE_COLUMN)
 
 
-def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "attempts")
+def attempts(spark: SparkSession, folder: str, dated: bool = False) -> DataFrame:
+    return stored(spark, folder, "attempts", dated=dated)
 
 
 def captured(spark: SparkSession, folder: str) -> DataFrame:
