@@ -30,12 +30,16 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
 
 
-def partial_components(links: DataFrame) -> DataFrame:
-    """(node, component) after one round: equal labels are connected, connected nodes may still have different ones.
+def partial_components(links: DataFrame, rounds: int = 1) -> DataFrame:
+    """(node, component) after a few rounds: equal labels are connected, connected nodes may still have different ones.
 
-    Enough where labels only save work, and nearly complete for links that form stars.
+    Enough where labels only save work.  One round is nearly complete for links that form stars, two for
+    groups whose members have many links.
     """
-    return _labels(_small_star(_large_star(_ordered(links))))
+    edges = _small_star(_large_star(_ordered(links)))
+    for _ in range(rounds - 1):
+        edges = _small_star(_large_star(written(edges, "component-round")))
+    return _labels(edges)
 
 
 def _labels(edges: DataFrame) -> DataFrame:

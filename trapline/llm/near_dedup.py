@@ -32,6 +32,8 @@ DEVIATIONS = 5.0
 BUCKET = 32
 # Pivots of a bucket in each turn, before and after large buckets are split.
 PIVOTS = ((1,), (32, 128))
+# Rounds in which links become labels, before and after.
+LABEL_ROUNDS = (1, 2)
 # Shingles are counted in so many cells by the leading bits of their hashes, to order them by rarity.
 CELL_BITS = 18
 
@@ -288,10 +290,10 @@ def _across(rows: DataFrame) -> DataFrame:
     return found.filter(_may_link("left", "right")).select(F.col("left_rep").alias("a"), F.col("right_rep").alias("b"))
 
 
-def _mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     """Rows of buckets with members in different components, with their component so far as ``label`` and number of links."""
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-    labels = written(partial_components(links).join(degrees, "node"), "near-labels")
+    labels = written(partial_components(links, rounds).join(degrees, "node"), "near-labels")
     labelled = rows.drop("label", "degree").join(labels, rows.rep == labels.node, "left")
     labelled = labelled.select(
         *("key", "rep", "n", "place", "members", "least"),
@@ -322,7 +324,7 @@ def _links(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
         for turn, pivots in enumerate(PIVOTS[last]):
             tested, links = _tested(_with_pivots(open_rows, turn, pivots), tested, links, sketches, docs, words)
             # In buckets of two, the pivot's pair was all there is.
-            open_rows = _mixed(open_rows.filter("members > 2"), links)
+            open_rows = _mixed(open_rows.filter("members > 2"), links, LABEL_ROUNDS[last])
         compared = open_rows if last else open_rows.filter(F.col("members") <= BUCKET)
         tested, links = _tested(_across(compared), tested, links, sketches, docs, words)
         large = open_rows.filter(F.col("members") > BUCKET)
