@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -15,6 +16,10 @@ from trapline.settings import work_folder
 # Words are runs of anything but these ASCII spaces, in every operator that counts words.
 SPACES = r"[\x20\x09-\x0D]+"
 
+# Bytes of an Arrow batch that goes to a Python helper.
+BATCH_BYTES = 4 << 20
+_BATCH_OPTION = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Python helpers look at so many characters at a time, whatever the size of a batch.
 SLICE_CHARS = 1 << 18
 
@@ -34,9 +39,27 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: later steps neither repeat the work nor depend on
     the disks of the executors that did it.
     """
-    path = work_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    spark = frame.sparkSession
+    path = work_folder(spark, name)
+    with _small_batches(spark):
+        frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES meanwhile, unless the session says otherwise; rows do not depend on it.
+
+    Spark's default lets every task hold 64 MB of texts outside the heap, and twice that while it fills a batch.
+    """
+    if _BATCH_OPTION in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(_BATCH_OPTION, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_OPTION)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_CHARS) -> Iterator[list[list]]:
