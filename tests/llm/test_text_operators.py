@@ -226,6 +226,42 @@ def test_page_text(html, text):
     assert main_text.page_text(html) == text
 
 
+def paragraphs(word, count, length):
+    return [(f"{word}{i} " * length)[:length].strip() for i in range(count)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><section>{0}</section><section>{1}</section><section>{2}</section></article>",
+        "<body><div>{0}</div><div>{1}</div><div>{2}</div></body>",
+        "<body><article>{0}</article><article>{1}</article><main>{2}</main></body>",
+        "<body><div>{0}</div><article>{1}</article><div>{2}</div></body>",
+        "<article>{0}<blockquote>{1}</blockquote>{2}</article>",
+        "<body>{0}<table><tr><td>{1}</td></tr></table>{2}</body>",
+    ],
+)
+def test_sections_beside_the_longest_one_stay(page):
+    parts = paragraphs("a", 10, 200), paragraphs("b", 2, 5000), paragraphs("c", 10, 200)
+    html = page.format(*("".join(f"<p>{text}</p>" for text in part) for part in parts))
+    assert main_text.page_text(html) == "\n".join(sum(parts, []))
+
+
+@pytest.mark.parametrize("body", ["<div>{}</div>", "<article>{}</article>", "<main><div>{}</div></main>"])
+def test_heading_and_lead_beside_the_body_stay(body):
+    long = paragraphs("b", 5, 3000)
+    html = "<body><h1>Title</h1><p>Lead.</p>" + body.format("".join(f"<p>{text}</p>" for text in long)) + "</body>"
+    assert main_text.page_text(html) == "\n".join(["Title", "Lead.", *long])
+
+
+def test_link_lists_outside_the_article_go():
+    links = "<div>" + "".join(f"<ul><li><a href={i}>go {i}</a></li></ul>" for i in range(20)) + "</div>"
+    long = paragraphs("b", 5, 1000)
+    html = "<body>" + links + "<article>" + "".join(f"<p>{text}</p>" for text in long) + "</article>" + links + "</body>"
+    found = main_text.page_text(html).split("\n")
+    assert set(long) <= set(found) and len(found) < 20
+
+
 def test_main_text_of_all_pages(spark):
     """The test pages keep their text in one article: take it out by patterns and compare."""
     import html

@@ -43,23 +43,27 @@ LIST_ROOTS = frozenset("ul ol dl table".split())
 
 # Standard deviation of the Gaussian, in lines; lines of a ratio above the threshold are content.
 SIGMA = 2.0
-# A container is entered while it holds this share of the content of the one around it.
+# Articles and main elements are the region of the content if they hold this share of it.
+REGIONS = frozenset(["article", "main"])
 SHARE = 0.9
+# Running text, which is content outside the region too.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre".split())
 
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An open or closed element: its container, if any, and whether it lies around the content."""
+    """An open or closed element: whether it lies around the content, in an article or main element, in running text."""
 
-    __slots__ = ("tag", "parent", "hidden", "around", "container", "article")
+    __slots__ = ("tag", "parent", "hidden", "around", "article", "region", "prose")
 
     def __init__(self, tag: str, parent: "Node | None", hidden: bool, around: bool):
         self.tag, self.parent = tag, parent
         self.hidden, self.around = hidden, around
         self.article = tag == "article" or (parent is not None and parent.article)
-        self.container = self if tag in CONTAINERS or parent is None else parent.container
+        self.region = tag in REGIONS or (parent is not None and parent.region)
+        self.prose = tag in PROSE or (parent is not None and parent.prose)
 
 
 class LineParser(HTMLParser):
@@ -181,43 +185,18 @@ def main_lines(lines: list[tuple[str, int, Node]]) -> list[str]:
     """The lines of the content region.
 
     Lines outside known surroundings whose smoothed text-to-tag ratio is in the
-    upper cluster vote, by their length, for the containers they stand in; from
-    the page inwards, a container is entered while it holds nearly all votes.
-    Its lines are the region, short ones between long ones included.
+    upper cluster vote, by their length, for the article or main elements that they stand in.
+    If these have nearly all votes, lines beyond them go that are neither in the
+    upper cluster nor running text; otherwise all lines are the region.
     """
     lines = [line for line in lines if not line[2].around]
     if not lines:
         return []
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
-    votes: dict[int, int] = {}
-    inner: dict[int, dict[int, Node]] = {}
-    total = 0
-    for (text, _, node), content in zip(lines, clusters(ratios)):
-        if not content:
-            continue
-        total += len(text)
-        box = node.container
-        while box is not None:
-            votes[id(box)] = votes.get(id(box), 0) + len(text)
-            outer = box.parent.container if box.parent is not None else None
-            if outer is not None:
-                inner.setdefault(id(outer), {})[id(box)] = box
-            root, box = box, outer
-    region = root
-    while True:
-        best = max(inner.get(id(region), {}).values(), key=lambda box: votes[id(box)], default=None)
-        if best is None or votes[id(best)] < SHARE * total:
-            break
-        region = best
-    return [text for text, _, node in lines if _within(node.container, region)]
-
-
-def _within(box: Node | None, region: Node) -> bool:
-    while box is not None:
-        if box is region:
-            return True
-        box = box.parent.container if box.parent is not None else None
-    return False
+    content = clusters(smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines])))
+    total = sum(len(text) for (text, _, _), upper in zip(lines, content) if upper)
+    inside = sum(len(text) for (text, _, node), upper in zip(lines, content) if upper and node.region)
+    whole = inside < SHARE * total
+    return [text for (text, _, node), upper in zip(lines, content) if whole or upper or node.region or node.prose]
 
 
 def page_text(html: str) -> str:
