@@ -254,6 +254,47 @@ def test_heading_and_lead_beside_the_body_stay(body):
     assert main_text.page_text(html) == "\n".join(["Title", "Lead.", *long])
 
 
+LONG = paragraphs("b", 8, 400)
+BODY = "".join(f"<p>{text}</p>" for text in LONG)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><meta charset=utf-8><body>{}</body></html>",
+        "<html><head><title>t</title><script>x</script>{}</html>",
+        "<head><link rel=x><article>{}</article>",
+        "<html><head>\n<title>t</title>\n</head><body><form id=f><input><fieldset>{}</fieldset></form></body></html>",
+        "<form><nav><a href=x>Home</a></nav><div class=sidebar>links</div><div>{}</div></form>",
+        "<div class='page has-sidebar'>{}<div class=sidebar>some links</div></div>",
+        "<article class=no-comments>{}</article><article class=comment><p>well said</p></article>",
+        "<main><section class=content-share>{}</section></main>",
+        "<main><div id=x class=content-share>{}</div><div class=share>send it</div></main>",
+        "<nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><article>{}</article>",
+        "<div class=menu><ul><li><a href=x>A</a></ul><article>{}</article>",
+    ],
+)
+def test_marks_do_not_hide_whole_articles(page):
+    assert main_text.page_text(page.format(BODY)) == "\n".join(LONG)
+
+
+def test_sections_of_a_listed_class_are_judged_together():
+    html = "".join(f"<section class=has-sidebar id=s{i}><p>{text}</p></section>" for i, text in enumerate(LONG))
+    assert main_text.page_text(html) == "\n".join(LONG)
+
+
+def test_an_unclosed_ad_does_not_hide_what_follows():
+    half = len(BODY) // len(LONG) * 5
+    html = f"<article>{BODY[:half]}<div class=ad><a href=x>Buy</a>{BODY[half:]}</article>"
+    assert set(LONG) <= set(main_text.page_text(html).split("\n"))
+
+
+@pytest.mark.parametrize("marked", ["<section class=comments>{}</section>", "<div class=ad>{}", "<footer>{}"])
+def test_long_surroundings_beside_an_article_go(marked):
+    html = "<article><h1>Title</h1><p>Short.</p></article>" + marked.format(BODY)
+    assert main_text.page_text(html) == "Title\nShort."
+
+
 def test_link_lists_outside_the_article_go():
     links = "<div>" + "".join(f"<ul><li><a href={i}>go {i}</a></li></ul>" for i in range(20)) + "</div>"
     long = paragraphs("b", 5, 1000)

@@ -21,8 +21,11 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot "
     "th thead tr ul".split()
 )
-# Elements around the content, and words of a class, id or role that mark others as such.
+# What may stand in a head: any other element ends it.
+METADATA = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+# Elements around the content, those of them that may as well wrap it, and words of a class, id or role that mark others.
 AROUND = frozenset("nav aside footer form menu dialog fieldset".split())
+WRAPPERS = frozenset(["form", "fieldset"])
 AROUND_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
     "cookie cookies copyright disqus footer form login masthead menu nav navbar navigation newsletter notice notices popup "
@@ -38,6 +41,8 @@ CLOSED_BY = {
     "td": frozenset(["td", "th"]),
     "th": frozenset(["td", "th"]),
 }
+# Elements that end without an end tag.
+IMPLIED = frozenset("p li dt dd tr td th thead tbody tfoot caption".split())
 CONTAINERS = frozenset("body article main section div td blockquote center".split())
 LIST_ROOTS = frozenset("ul ol dl table".split())
 
@@ -54,16 +59,29 @@ _NAMES = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An open or closed element: whether it lies around the content, in an article or main element, in running text."""
+    """An open or closed element.
 
-    __slots__ = ("tag", "parent", "hidden", "around", "article", "region", "prose")
+    ``mark`` is None, or the kind of surroundings that it marks ("" if certain); ``around`` is the innermost
+    marked element, ``region`` the outermost article or main element, ``prose`` the running text it stands in.
+    """
+
+    __slots__ = ("tag", "parent", "hidden", "mark", "around", "ended", "article", "region", "prose")
 
-    def __init__(self, tag: str, parent: "Node | None", hidden: bool, around: bool):
+    def __init__(self, tag: str, parent: "Node | None", hidden: bool, mark: str | None):
         self.tag, self.parent = tag, parent
-        self.hidden, self.around = hidden, around
+        self.hidden, self.mark = hidden, mark
+        self.ended = tag in IMPLIED
+        self.around = self if mark is not None else parent and parent.around
         self.article = tag == "article" or (parent is not None and parent.article)
-        self.region = tag in REGIONS or (parent is not None and parent.region)
-        self.prose = tag in PROSE or (parent is not None and parent.prose)
+        self.region = (parent and parent.region) or (self if tag in REGIONS else None)
+        self.prose = tag if tag in PROSE else parent and parent.prose
+
+    def marks(self) -> "Iterator[Node]":
+        """Marked elements that it stands in, from the innermost one."""
+        mark = self.around
+        while mark is not None:
+            yield mark
+            mark = mark.parent and mark.parent.around
 
 
 class LineParser(HTMLParser):
@@ -71,7 +89,7 @@ class LineParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.node = Node("", None, False, False)
+        self.root = self.node = Node("", None, False, None)
         self.lines: list[tuple[str, int, Node]] = []  # text, tags, where it stands
         self._parts: list[str] = []
         self._tags = 0
@@ -86,6 +104,7 @@ class LineParser(HTMLParser):
     def _leave(self, node: Node) -> None:
         """Close everything within ``node`` and the element itself."""
         self._line()
+        node.ended = True
         self.node = node.parent
 
     def _open(self, tags: frozenset[str], until: frozenset[str]) -> Node | None:
@@ -99,10 +118,20 @@ class LineParser(HTMLParser):
             node = node.parent
         return None
 
+    def _end_head(self) -> None:
+        node = self.node
+        while node.hidden:
+            if node.tag == "head":
+                self.node = node.parent
+            node = node.parent
+
     def handle_starttag(self, tag, attrs):
+        inside = self.node.tag
+        if tag == "body" or (inside == "head" and tag not in METADATA) or (inside == "title" and tag in BLOCKS):
+            self._end_head()
         if self.node.hidden:
             if tag not in VOID:
-                self.node = Node(tag, self.node, True, self.node.around)
+                self.node = Node(tag, self.node, True, None)
             return
         self._tags += 1
         if tag == "br":
@@ -117,17 +146,19 @@ class LineParser(HTMLParser):
             self._line()
         if tag in VOID:
             return
-        around = self.node.around or self._is_around(tag, dict(attrs))
         hidden = tag in HIDDEN or any(name == "hidden" for name, _ in attrs)
-        self.node = Node(tag, self.node, hidden, around)
+        self.node = Node(tag, self.node, hidden, self._mark(tag, dict(attrs)))
 
-    def _is_around(self, tag: str, attrs: dict) -> bool:
-        if tag in AROUND or (tag == "header" and not self.node.article):
-            return True
+    def _mark(self, tag: str, attrs: dict) -> str | None:
+        if (tag in AROUND and tag not in WRAPPERS) or (tag == "header" and not self.node.article):
+            return ""
         if tag in ("html", "body", "main"):
-            return False
-        names = " ".join(attrs.get(name) or "" for name in ("class", "id", "role", "aria-label"))
-        return bool(names) and not AROUND_WORDS.isdisjoint(_NAMES.findall(names.lower()))
+            return None
+        values = " ".join(attrs.get(name) or "" for name in ("class", "id", "role", "aria-label"))
+        names = _NAMES.findall(values.lower())
+        if tag in WRAPPERS or not AROUND_WORDS.isdisjoint(names):
+            return " ".join([tag, *names])
+        return None
 
     def handle_startendtag(self, tag, attrs):
         # A slash does not end an element that needs an end tag.
@@ -147,9 +178,12 @@ class LineParser(HTMLParser):
         if tag in BLOCKS:
             self._leave(node)
         else:
+            node.ended = True
             self.node = node.parent
 
     def handle_data(self, data):
+        if self.node.tag == "head" and not data.isspace():
+            self._end_head()
         if not self.node.hidden:
             self._parts.append(data)
 
@@ -181,18 +215,77 @@ def clusters(values: np.ndarray) -> np.ndarray:
     return values >= threshold
 
 
+def ratios(lines: list[tuple[str, int, Node]]) -> np.ndarray:
+    return np.array([len(text) / max(1, tags) for text, tags, _ in lines])
+
+
+def beside_surroundings(lines: list[tuple[str, int, Node]]) -> list[tuple[str, int, Node]]:
+    """Lines but those of surroundings.
+
+    A navigation, footer or the like that is closed is left out.  What its class or a form marks is so too, unless
+    elements of that kind hold more text of the upper ratio cluster than stands outside all marks: then they wrap the
+    content.  That is not asked where another article or main element is unmarked, unless one of these or an h1
+    is within.  An element that nothing closes marks only what comes before its first content (or all of it beside
+    an unmarked article).
+    """
+    if all(node.around is None for _, _, node in lines):
+        return lines
+    values = ratios(lines)
+    upper = clusters(smoothed(values))
+    sharp = clusters(values)
+    weights = [len(text) if content else 0 for (text, _, _), content in zip(lines, upper)]
+    elsewhere = {node.region for _, _, node in lines if node.region and node.around is None}
+    ended: set[int] = set()
+    regions: dict[str, set] = {}  # of the elements of each kind
+    wraps: set[str] = set()  # kinds with an h1 or an unmarked article within
+    kinds: list[list[str]] = []  # of each line, from the outermost one
+    for (_, _, node), content, clear in zip(lines, upper, sharp):
+        own = []
+        titled = node.prose == "h1"
+        for mark in node.marks():
+            within = node.region is not None and node.region is not mark.region and node.region.mark is None
+            if not mark.ended and id(mark) not in ended:
+                alone = bool(elsewhere - {mark.region})
+                if within or titled or ((clear or (content and node.prose)) and not alone):
+                    ended.add(id(mark))
+            if id(mark) in ended:
+                continue
+            if mark.mark not in own:
+                own.append(mark.mark)
+            regions.setdefault(mark.mark, set()).add(mark.region)
+            if (within or titled) and node.around is mark:
+                wraps.add(mark.mark)
+        kinds.append(own[::-1])
+    released: set[str] = set()
+    while True:
+        beside, votes = 0, {}
+        for own, weight in zip(kinds, weights):
+            held = [kind for kind in own if kind not in released]
+            if not held:
+                beside += weight
+            elif "" not in held:
+                for kind in held:
+                    votes[kind] = votes.get(kind, 0) + weight
+        wrapping = [
+            kind for kind, weight in votes.items() if weight > beside and (kind in wraps or elsewhere <= regions[kind])
+        ]
+        if not wrapping:
+            return [line for line, own in zip(lines, kinds) if released.issuperset(own)]
+        released.add(max(wrapping, key=votes.get))
+
+
 def main_lines(lines: list[tuple[str, int, Node]]) -> list[str]:
     """The lines of the content region.
 
-    Lines outside known surroundings whose smoothed text-to-tag ratio is in the
+    Lines outside surroundings whose smoothed text-to-tag ratio is in the
     upper cluster vote, by their length, for the article or main elements that they stand in.
     If these have nearly all votes, lines beyond them go that are neither in the
     upper cluster nor running text; otherwise all lines are the region.
     """
-    lines = [line for line in lines if not line[2].around]
+    lines = beside_surroundings(lines)
     if not lines:
         return []
-    content = clusters(smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines])))
+    content = clusters(smoothed(ratios(lines)))
     total = sum(len(text) for (text, _, _), upper in zip(lines, content) if upper)
     inside = sum(len(text) for (text, _, node), upper in zip(lines, content) if upper and node.region)
     whole = inside < SHARE * total
@@ -211,7 +304,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Blocks of the content region, each with its white space turned into single
     spaces, joined by line breaks; nothing of the region is cut.  Cases: a null or
     empty page, and one without text, give empty text; broken or unclosed
-    markup is read as far as it goes; rows that share an id are each read; a
+    markup is read as far as it goes: a head ends at the first element of a body, and
+    marks of surroundings that wrap the content, or that nothing closes, do not hide it; rows that share an id are each read; a
     null id or url stays null; an empty table gives no rows.  Other columns of ``pages`` are
     not read.  There is no shuffle.
     """
