@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.exact_dedup import exact_dedup
-from trapline.llm.language import UNKNOWN, identify
+from trapline.llm.language import known_language
 from trapline.llm.mixing import mix
 from trapline.llm.near_dedup import near_dedup
 from trapline.llm.packing import pack
@@ -34,9 +34,8 @@ def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language."""
-    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return _only(docs, identify(docs).withColumn("kept", sure))
+    """Documents of a known language: told with LEAST_SCORE, in words that are usual in it."""
+    return _only(docs, known_language(docs, least=LEAST_SCORE).withColumn("kept", F.col("known")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

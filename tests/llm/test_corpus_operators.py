@@ -286,3 +286,22 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in kept.collect()}
     whole = corpus_pipeline.run(spark, SMALL)
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in whole.collect()) == Counter((r.doc_id, r.start, r.ids_crc32) for r in packed)
+
+
+FOREIGN = [
+    "Быстрая коричневая лиса прыгает через ленивую собаку. ",
+    "吾輩は猫である。名前はまだ無い。どこで生れたか。",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. ",
+    "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. ",
+    "asdkjh qwlekjr zxmcnb poiuqwe lkjasd mnbzxc qpwoeiru ",
+    "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQgZW5jb2RlZCB0ZXh0 ",
+]
+
+
+def test_language_stage_drops_foreign_and_junk_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    planted = [(10**9 + i, text * times, None, "planted") for times in (2, 20) for i, text in enumerate(FOREIGN, 100 * times)]
+    left = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(planted, docs.schema)), SMALL)
+    ids = {row.doc_id for row in left.select("doc_id").collect()}
+    assert not ids & {row[0] for row in planted}
+    assert len(ids) >= 0.99 * docs.count()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.shared import slices
+from trapline.llm.shared import slices, written
 
 # Hash buckets of n-grams; with at most MAX_LANGUAGES the matrix is bounded by 32 MB.
 BUCKETS = 1 << 16
@@ -20,6 +20,9 @@ SAMPLE_PER_LANGUAGE = 4_000
 ORDERS = 3
 SMOOTHING = 0.5
 UNKNOWN = "und"
+# A text is of the language predicted if its n-grams are likely enough there: down to as far below this
+# quantile of the labelled texts of that language as the quantile lies below their median.
+LOW_FIT = 0.05
 
 _DRAWS = 1 << 30
 
@@ -79,13 +82,16 @@ class LanguageModel:
         self.by_bucket = np.ascontiguousarray(np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).T)
         self.prior = np.log(documents / documents.sum())
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Language and probability of each text; every text must have a character."""
+    def judge(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, its probability, and mean log probability of the n-grams in it; every text must have a character."""
         buckets, starts = hashed_ngrams(texts)
-        scores = np.add.reduceat(self.by_bucket[buckets], starts, axis=0) + self.prior
+        likely = np.add.reduceat(self.by_bucket[buckets], starts, axis=0)
+        scores = likely + self.prior
         best = scores.argmax(axis=1)
         odds = np.exp(scores - scores.max(axis=1, keepdims=True))
-        return [self.languages[i] for i in best], (1 / odds.sum(axis=1)).tolist()
+        sizes = np.diff(np.append(starts, len(buckets)))
+        fits = likely[np.arange(len(texts)), best] / sizes
+        return [self.languages[i] for i in best], (1 / odds.sum(axis=1)).tolist(), fits.tolist()
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, languages: int = MAX_LANGUAGES) -> LanguageModel:
@@ -124,26 +130,40 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     share an id are each scored; a null id stays null; an empty table gives no
     rows.  Other columns of ``docs`` are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).alias("lang"))
+    return judged(rows, model).select("doc_id", "lang_pred", "score")
+
+
+def judged(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """As ``predict``, over rows (doc_id, text, lang), with lang as given and ``fit``.
+
+    ``fit`` is the mean log probability of the n-grams in the predicted language.  It does not grow with the length of a text as the odds between languages do; it is null for ``und``.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     # So many characters at a time that the gathered log probabilities stay within some 50 MB.
     most = max(1 << 12, (1 << 21) // max(1, len(model.languages)) // ORDERS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for doc_ids, texts in slices(batches, 1, most):
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for doc_ids, texts, given in slices(batches, 1, most):
+            langs, scores, fits = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
             usable = [i for i, text in enumerate(texts) if known.languages and any(map(str.isalpha, text or ""))]
             if usable:
-                for i, lang, score in zip(usable, *known.predict([texts[i] for i in usable])):
-                    langs[i], scores[i] = lang, score
+                for i, lang, score, fit in zip(usable, *known.judge([texts[i] for i in usable])):
+                    langs[i], scores[i], fits[i] = lang, score, fit
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc_id", "lang_pred", "score"],
+                [
+                    pa.array(doc_ids, pa.int64()),
+                    pa.array(given, pa.string()),
+                    pa.array(langs, pa.string()),
+                    pa.array(scores, pa.float64()),
+                    pa.array(fits, pa.float64()),
+                ],
+                names=["doc_id", "lang", "lang_pred", "score", "fit"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        task, "doc_id long, lang_pred string, score double"
-    )
+    columns = rows.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
+    return columns.mapInArrow(task, "doc_id long, lang string, lang_pred string, score double, fit double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -169,3 +189,28 @@ def identify(
     model = fit(rows.filter(F.col("doc_id").isNotNull() & ~held_out()), per_language)
     found = predict(rows, model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def known_language(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5
+) -> DataFrame:
+    """As ``identify``, with ``fit``, the ``least_fit`` of the predicted language, and ``known``.
+
+    Foreign and junk texts have a most probable language too, and its probability is near 1 for any long
+    text.  So a text is known only if, besides a probability of ``least``, its fit is not far below that of the texts
+    which are labelled and predicted as that language (held-out ones among them, for the model
+    fits those that it has learnt better).  A language without such texts has no least fit.
+    """
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
+    )
+    model = fit(rows.filter(F.col("doc_id").isNotNull() & ~held_out()))
+    found = written(judged(rows, model), "language-fits")
+    spread = F.percentile_approx("fit", [LOW_FIT, 0.5], 10_000)
+    fits = found.filter("lang = lang_pred").groupBy("lang_pred").agg(spread.alias("fits"))
+    fits = fits.select("lang_pred", (2 * F.col("fits")[0] - F.col("fits")[1]).alias("least_fit"))
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
+    known = known & F.coalesce(F.col("fit") >= F.col("least_fit"), F.lit(True))
+    return found.join(fits, "lang_pred", "left").select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "fit", "least_fit", known.alias("known")
+    )
