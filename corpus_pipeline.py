@@ -1,13 +1,14 @@
 """A corpus from documents to packed training sequences, stage by stage.
 
 Every stage reads what its predecessor kept and drops rows by the decisions of one
-operator; all but the last return the columns of ``documents``.
+operator; all but the last return the columns of ``documents``.  Decisions are made for each
+id and text, so null ids and ids of several texts do not share one.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.exact_dedup import exact_dedup
@@ -23,34 +24,82 @@ LEAST_SCORE = 0.5
 MIX_BUDGET = 0.9
 
 
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents but those whose id has no verdict that holds.
+# Column of the key by which stages tell documents apart.
+KEY = "document_key"
 
-    Fewer go than stay, so the ids that go are written and joined: few are broadcast by their size, many shuffle.
-    """
-    gone = verdicts.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept")).filter("NOT kept")
-    gone = written(gone.select("gone_id"), "pipeline-gone")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")
+
+def _digest(text: str = "text") -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def _ambiguous(docs: DataFrame) -> DataFrame | None:
+    """Ids that stand for several texts, written; None if there are none."""
+    texts = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("ambiguous_id"))
+    several = ids.agg(F.min(texts).alias("low"), F.max(texts).alias("high")).filter("low != high")
+    several = written(several.select("ambiguous_id"), "pipeline-ambiguous")
+    return None if several.isEmpty() else several
+
+
+def _keyed(rows: DataFrame, ambiguous: DataFrame | None, digest: Column) -> DataFrame:
+    """Rows with a key of their id and text: the id where it tells, else a hash of both from 2^62 up."""
+    doc_id = F.col("doc_id").cast("long")
+    hashed = F.xxhash64(digest, doc_id).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    if ambiguous is None:
+        return rows.withColumn(KEY, F.when(doc_id.isNull(), hashed).otherwise(doc_id))
+    joined = rows.join(ambiguous, rows.doc_id == ambiguous.ambiguous_id, "left")
+    unclear = doc_id.isNull() | F.col("ambiguous_id").isNotNull()
+    return joined.withColumn(KEY, F.when(unclear, hashed).otherwise(doc_id)).drop("ambiguous_id")
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows but those whose key is in ``gone``, which are fewer: few are broadcast by their size, many shuffle."""
+    return keyed.join(gone.select(F.col(KEY).alias("gone_key")), F.col(KEY) == F.col("gone_key"), "left_anti")
+
+
+def _only(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Documents but those whose key has no verdict that holds; the keys that go are written and joined."""
+    gone = verdicts.groupBy(F.col("doc_id").alias(KEY)).agg(F.max("kept").alias("kept")).filter("NOT kept")
+    return _without(keyed, written(gone.select(KEY), "pipeline-gone")).drop(KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language: told with LEAST_SCORE, in words that are usual in it."""
-    return _only(docs, known_language(docs, least=LEAST_SCORE).withColumn("kept", F.col("known")))
+    keyed = _keyed(docs, _ambiguous(docs), _digest())
+    return _only(keyed, known_language(keyed, KEY, least=LEAST_SCORE).withColumn("kept", F.col("known")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return _only(docs, exact_dedup(docs))
+    """One row of each text, the one that ``exact_dedup`` keeps; of rows with the same id and text one remains."""
+    ambiguous = _ambiguous(docs)
+    copies = exact_dedup(docs).filter("group_size > 1")
+    found = _keyed(copies, ambiguous, F.col("text_sha256")).groupBy(KEY)
+    found = found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1")
+    found = written(found, "pipeline-copies")
+    keyed = _keyed(docs, ambiguous, _digest())
+    single = _without(keyed, found).select(docs.columns)
+    repeated = found.filter("kept").select(F.col(KEY).alias("repeated_key"))
+    if repeated.isEmpty():
+        return single
+    rows = keyed.join(repeated, F.col(KEY) == F.col("repeated_key"), "left_semi")
+    # Reduced on the map side first, so a row that is repeated very often is no hot key.
+    one = rows.groupBy(KEY).agg(F.max(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return single.unionByName(one)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return _only(docs, near_dedup(docs))
+    ambiguous = _ambiguous(docs)
+    keyed = _keyed(docs, ambiguous, _digest())
+    if ambiguous is not None:
+        keyed = written(keyed, "pipeline-keyed")  # read in several steps
+    return _only(keyed, near_dedup(keyed, KEY))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and topics have their target weights."""
-    return _only(docs, mix(docs, budget=MIX_BUDGET))
+    keyed = _keyed(docs, _ambiguous(docs), _digest())
+    return _only(keyed, mix(keyed, id_col=KEY, budget=MIX_BUDGET))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

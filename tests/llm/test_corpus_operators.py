@@ -305,3 +305,29 @@ def test_language_stage_drops_foreign_and_junk_texts(spark):
     ids = {row.doc_id for row in left.select("doc_id").collect()}
     assert not ids & {row[0] for row in planted}
     assert len(ids) >= 0.99 * docs.count()
+
+
+def test_repeated_rows_and_null_ids_leave_one_copy(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source").limit(60)
+    clean = [tuple(row) for row in docs.collect()]
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma", "delta")]
+    rows = clean + clean[:20]  # a shard that is loaded twice
+    rows += [(None, text, "en", "s") for text in (long[0], long[0], long[1], long[1] + " end", clean[30][1])]
+    rows += [(7_000, long[2], "en", "s"), (7_000, long[3], "en", "s"), (8_000, long[3], "en", "s"), (8_001, long[3] + " x", "en", "s")]
+    frame = spark.createDataFrame(rows, docs.schema)
+    left = corpus_pipeline.exact(spark, frame, SMALL).cache()
+    assert left.columns == docs.columns
+    assert Counter(row.text for row in left.collect()) == Counter({row[1]: 1 for row in rows})
+    texts = [row.text for row in corpus_pipeline.near(spark, left, SMALL).collect()]
+    assert len(texts) == len(set(texts))
+    for first, other in ((long[1], long[1] + " end"), (long[3], long[3] + " x")):
+        assert (first in texts) + (other in texts) == 1
+    assert {long[0], long[2]} <= set(texts)
+
+
+def test_null_ids_are_judged_row_by_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    clean = docs.filter("length(text) > 500").limit(1).collect()[0].text
+    planted = spark.createDataFrame([(None, clean, "en", "s"), (None, FOREIGN[0] * 5, None, "s")], docs.schema)
+    left = corpus_pipeline.language(spark, docs.unionByName(planted), SMALL).filter("doc_id IS NULL")
+    assert [row.text for row in left.collect()] == [clean]
