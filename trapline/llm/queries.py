@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from trapline.llm.exact_dedup import exact_dedup
 from trapline.llm.language import identify
 from trapline.llm.main_text import main_text
+from trapline.llm.merkle import FIELDS, folded, leaf, manifest
 from trapline.llm.mixing import BUDGET, CALIBRATION, MARGINS, ROUNDS, TEMPERATURE, mix
 from trapline.llm.near_dedup import near_dedup
 from trapline.llm.packing import pack
@@ -76,6 +79,21 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Witnesses of all documents, a fifth of which come back lower-cased."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    presented = leaf(*(lowered if name == "text" else F.col(name) for name in FIELDS))
+    witnesses = manifest(table(spark, folder, "documents"), presented=F.when(tampered, presented))
+    witnesses = witnesses.withColumns(
+        {"presented": F.coalesce("presented", "leaf"), "proof_sha256": F.sha2("proof", 256)}
+    )
+    return folded(witnesses, "presented").select(
+        *("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root"),
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -89,6 +107,7 @@ QUERIES = {
         op8_main_text,
         op9_secrets,
         op10_packing,
+        op12_merkle_manifest,
     )
 }
 
@@ -181,6 +200,74 @@ def _secrets_sql() -> str:
     )
 
 
+def _merkle_sql() -> str:
+    """Levels of runs of 16, upwards for the nodes and along each leaf's way for proof and folded root; CRC-32 from its polynomial."""
+    fields = [f"coalesce(strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in FIELDS]
+    lowered = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    steps = [
+        """crc_table AS (SELECT list(list_reduce(list_concat([n], range(8)),
+          lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n))""",
+        f"""leaves AS MATERIALIZED (
+          SELECT doc_id, coalesce('s' || source, 'n') AS tree, sha256(concat({", ".join(fields)})) AS leaf,
+           CASE WHEN xor(4294967295, list_reduce(list_concat([4294967295],
+             list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 5 = 0
+            THEN sha256(concat({", ".join(fields).replace("text::", f"{lowered}::")})) END AS presented
+          FROM documents, crc_table)""",
+        """a0 AS MATERIALIZED (
+          SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n,
+           leaf AS node, '' AS proof, coalesce(presented, leaf) AS folded FROM leaves)""",
+    ]
+
+    def climb(side: str, depth: int) -> None:
+        for i in range(depth):
+            steps.append(
+                f"""{side}_runs{i} AS MATERIALIZED (
+          SELECT tree, pos // 16 AS run, list(node ORDER BY pos) AS nodes, any_value(n) AS n FROM {side}{i} WHERE n > 1 GROUP BY 1, 2)"""
+            )
+            steps.append(
+                f"""{side}{i + 1} AS MATERIALIZED (
+          SELECT tree, run AS pos, sha256(array_to_string(nodes, '')) AS node, (n + 15) // 16 AS n FROM {side}_runs{i}
+          UNION ALL SELECT tree, pos, node, n FROM {side}{i} WHERE n = 1)"""
+            )
+
+    def walk(side: str, depth: int, start: str) -> str:
+        for i in range(depth):
+            steps.append(
+                f"""{side}_walk{i} AS MATERIALIZED (
+          SELECT doc_id, leaf, subroot, name, w.tree, pos // 16 AS pos,
+           proof || coalesce(array_to_string(list_concat(nodes[1:pos % 16], nodes[pos % 16 + 2:]), ''), '') AS proof,
+           CASE WHEN nodes IS NULL THEN folded ELSE sha256(concat(
+            array_to_string(nodes[1:pos % 16], ''), folded, array_to_string(nodes[pos % 16 + 2:], ''))) END AS folded
+          FROM {start} w LEFT JOIN {side}_runs{i} r ON r.tree = w.tree AND r.run = w.pos // 16)"""
+            )
+            start = f"{side}_walk{i}"
+        return start
+
+    climb("a", 6)
+    steps.append(
+        """b0 AS MATERIALIZED (
+          SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, node FROM a6)"""
+    )
+    climb("b", 4)
+    steps.append(
+        """started AS (SELECT doc_id, leaf, b0.node AS subroot, name, a0.tree, a0.pos, proof, folded FROM a0 JOIN b0 ON b0.name = a0.tree)"""
+    )
+    inner = walk("a", 6, "started")
+    steps.append(
+        f"""moved AS (
+          SELECT doc_id, leaf, subroot, b0.name, '' AS tree, b0.pos, proof, folded FROM {inner} w JOIN b0 ON b0.name = w.tree)"""
+    )
+    last = walk("b", 4, "moved")
+    return (
+        "WITH "
+        + ",\n        ".join(steps)
+        + f"""
+        SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified
+        FROM {last} w, b4"""
+    )
+
+
 ORACLE_SQL = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -229,4 +316,5 @@ ORACLE_SQL = {
         FROM judged""",
     "op7_mixing": _raking_sql(),
     "op9_secrets": _secrets_sql(),
+    "op12_merkle_manifest": _merkle_sql(),
 }
