@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trapline.llm.exact_dedup import exact_dedup
 from trapline.llm.language import identify
+from trapline.llm.language_model import score_corpus
 from trapline.llm.main_text import main_text
 from trapline.llm.merkle import FIELDS, folded, leaf, manifest
 from trapline.llm.mixing import BUDGET, CALIBRATION, MARGINS, ROUNDS, TEMPERATURE, mix
@@ -79,6 +80,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op11_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_corpus(table(spark, folder, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Witnesses of all documents, a fifth of which come back lower-cased."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -107,6 +112,7 @@ QUERIES = {
         op8_main_text,
         op9_secrets,
         op10_packing,
+        op11_lm_scores,
         op12_merkle_manifest,
     )
 }
