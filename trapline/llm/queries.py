@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.exact_dedup import exact_dedup
+from trapline.llm.hard_negatives import hard_negatives
 from trapline.llm.language import identify
 from trapline.llm.language_model import score_corpus
 from trapline.llm.main_text import main_text
@@ -99,6 +100,13 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hundredth vector's negatives, after every seventh has moved to the next label."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -114,6 +122,7 @@ QUERIES = {
         op10_packing,
         op11_lm_scores,
         op12_merkle_manifest,
+        op13_hard_negatives,
     )
 }
 
@@ -323,4 +332,21 @@ ORACLE_SQL = {
     "op7_mixing": _raking_sql(),
     "op9_secrets": _secrets_sql(),
     "op12_merkle_manifest": _merkle_sql(),
+    "op13_hard_negatives": """
+        WITH v AS (
+          SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+          FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+        positives AS (
+          SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, r) AS k FROM scored WHERE same),
+        negatives AS (
+          SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id, n.r)::INT AS rank
+          FROM positives p JOIN scored n ON n.anchor = p.anchor
+          WHERE p.k <= 5 AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10""",
 }
