@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import SMALL
 from trapline.llm import exact_dedup, mixing, near_dedup, tool_calls
-from trapline.llm.components import components, partial_components
+from trapline.llm.components import components, contracted, partial_labels
 
 DOCS = "doc_id long, text string, lang string, source string, kept boolean, rep long, key long"
 
@@ -96,6 +96,31 @@ def test_near_duplicates_edge_rows(spark):
     assert near_dedup.near_dedup(with_rows(spark, []).limit(0)).collect() == []
 
 
+def test_a_large_group_makes_few_links(spark, monkeypatch):
+    import random
+
+    draw, carried = random.Random(5), []
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for doc_id in range(400):
+        own = list(words)
+        for at in draw.sample(range(200), 2):
+            own[at] = f"x{doc_id}_{at}"
+        rows.append((doc_id, " ".join(own)))
+    rows += [(1000 + i, " ".join(f"other{i}_{j}" for j in range(50))) for i in range(100)]
+    real = near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda links: carried.append(links.count()) or real(links))
+    found = near_dedup.near_dedup(with_rows(spark, rows), shingle_words=4).collect()
+    assert {r.doc_id: r.component_id for r in found} == {doc_id: 0 if doc_id < 400 else doc_id for doc_id, _ in rows}
+    assert carried[0] < 5 * 400
+
+
+def test_frequent_sets_are_one_class(spark):
+    rows = [(i, "the same words in every row") for i in range(50, 1500)] + [(i, f"one of its own {i}") for i in range(50)]
+    found = near_dedup.near_dedup(with_rows(spark, rows), shingle_words=4).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: 50 if i >= 50 else i for i, _ in rows}
+
+
 def test_registers_and_estimate():
     import numpy as np
 
@@ -122,8 +147,10 @@ def test_components(spark):
             want.join(a, b)
     expected = {node: want.find(node) for node in list(want.parent)}
     assert {r.node: r.component for r in components(frame).collect()} == expected
-    for row in partial_components(frame).collect():
+    fewer = contracted(frame, 2)
+    for row in partial_labels(fewer).collect():
         assert expected[row.node] == expected[row.component]
+    assert {r.node: r.component for r in components(fewer).collect()} == expected
     assert components(frame.limit(0)).collect() == []
 
 
