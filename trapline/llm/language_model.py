@@ -18,10 +18,10 @@ from trapline.llm.words import gathered, spread, word_hashes
 from trapline.settings import work_folder
 
 # Words and bigrams of one sorted array, about.
-SHARD_WORDS = 1 << 20
-SHARD_BIGRAMS = 1 << 22
+SHARD_WORDS = 1 << 18
+SHARD_BIGRAMS = 1 << 21
 # A task hands its counts on when it has so many different keys.
-HELD = 1 << 21
+HELD = 1 << 20
 # Characters that are looked up together.
 LOOKUP_CHARS = 1 << 20
 # The end of a text is a token; its hash is that of no word but by accident.
@@ -411,16 +411,27 @@ def _around_arrays(reduced: DataFrame, words: Shards, folder: str) -> DataFrame:
     """(part, name, n1, n2, n3, n4, total): arrays ``around`` by part of the words, with the number of words of 1 to 4 predecessors."""
     base, parts = words.base, len(words.names)
 
+    names = ["part", "name", "n1", "n2", "n3", "n4", "total"]
+
+    def saved(part: int, around: np.ndarray) -> pa.RecordBatch:
+        last = around[:, 3]
+        row = [part, _saved(folder, around=_narrow(around)), *(int((last == i).sum()) for i in (1, 2, 3, 4)), int(last.sum())]
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=names)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, sums in _by_first(batches):
-            around = np.zeros((int(words.sizes[part]) + (part == parts - 1), 4), np.int64)
-            for id_, sum_ in zip(ids, sums):
-                around[(unpacked(id_) - np.uint64(base[part])).astype(np.int64)] += unpacked_counts(sum_, 4)
-            name = _saved(folder, around=_narrow(around))
-            last = around[:, 3]
-            row = [part, name, *(int((last == i).sum()) for i in (1, 2, 3, 4)), int(last.sum())]
-            names = ["part", "name", "n1", "n2", "n3", "n4", "total"]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=names)
+        now, around = None, None
+        for batch in batches:
+            for part, ids, sums in zip(*batch.columns):
+                if part.as_py() != now:
+                    if around is not None:
+                        yield saved(now, around)
+                    now = part.as_py()
+                    # The last part has the start of a text too.
+                    around = np.zeros((int(words.sizes[now]) + (now == parts - 1), 4), np.int64)
+                at = unpacked(ids.as_py()) - np.uint64(base[now])
+                around[at.astype(np.int64)] += unpacked_counts(sums.as_py(), 4)
+        if around is not None:
+            yield saved(now, around)
 
     rows = reduced.filter("part IS NOT NULL").select("part", "ids", "sums")
     dealt = rows.repartition(max(1, parts), "part").sortWithinPartitions("part")
