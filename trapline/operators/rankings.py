@@ -19,10 +19,14 @@ from trapline.functions.times import clock
 from trapline.operators.arguments import check_choice, check_limit
 
 
+def attack_day() -> Column:
+    """The UTC-8 day of an attempt."""
+    return (F.col("timestamp") - F.expr("INTERVAL '8' HOUR")).cast("date")
+
+
 def address_days(attempts: DataFrame) -> DataFrame:
     """Attempts per address, country and UTC-8 day: the short list the overview is made of."""
-    day = (F.col("timestamp") - F.expr("INTERVAL '8' HOUR")).cast("date").alias("day")
-    return attempts.groupBy("src_ip", "country_code", day).agg(F.count("*").alias("n"))
+    return attempts.groupBy("src_ip", "country_code", attack_day().alias("day")).agg(F.count("*").alias("n"))
 
 
 def overview_of(counted: DataFrame, as_of: datetime | str | Column) -> DataFrame:
@@ -55,9 +59,14 @@ def _with_total(grouped: DataFrame) -> DataFrame:
 
 def country_rankings(attempts: DataFrame, limit: int = 20) -> DataFrame:
     """Countries by attempts, with their share of all attempts."""
+    return countries_of(attempts.groupBy("country_code", "country_name").agg(F.count("*").alias("count")), limit)
+
+
+def countries_of(counted: DataFrame, limit: int = 20) -> DataFrame:
+    """The ranking of (country_code, country_name, count)."""
     check_limit(limit, 100)
     return (
-        _with_total(attempts.groupBy("country_code", "country_name").agg(F.count("*").alias("count")))
+        _with_total(counted)
         .filter(F.col("country_code").isNotNull())
         .orderBy(F.desc("count"), "country_code", "country_name")
         .limit(limit)
@@ -72,9 +81,14 @@ def country_rankings(attempts: DataFrame, limit: int = 20) -> DataFrame:
 
 def intent_breakdown(attempts: DataFrame) -> DataFrame:
     """Attempts per intent, with share, technique and description; unknown intents have neither."""
-    dim = F.broadcast(intent_dim(attempts.sparkSession))  # ten rows
+    return intents_of(attempts.groupBy("intent").agg(F.count("*").alias("count")))
+
+
+def intents_of(counted: DataFrame) -> DataFrame:
+    """The breakdown of (intent, count)."""
+    dim = F.broadcast(intent_dim(counted.sparkSession))  # ten rows
     return (
-        _with_total(attempts.groupBy("intent").agg(F.count("*").alias("count")))
+        _with_total(counted)
         .filter(F.col("intent").isNotNull())
         .join(dim, "intent", "left")
         .select(
@@ -90,24 +104,27 @@ def intent_breakdown(attempts: DataFrame) -> DataFrame:
 
 def top_commands(attempts: DataFrame, limit: int = 20) -> DataFrame:
     """Non-empty commands by use.  A text with several intents shows the smallest."""
+    typed = attempts.filter(F.col("command") != "").groupBy("command")
+    return commands_of(typed.agg(F.count("*").alias("count"), F.min("intent").alias("intent")), limit)
+
+
+def commands_of(counted: DataFrame, limit: int = 20) -> DataFrame:
+    """The ranking of (command, count, intent)."""
     check_limit(limit, 100)
-    return (
-        attempts.filter(F.col("command") != "")
-        .groupBy("command")
-        .agg(F.count("*").alias("count"), F.min("intent").alias("intent"))
-        .orderBy(F.desc("count"), "command")
-        .limit(limit)
-    )
+    return counted.orderBy(F.desc("count"), "command").limit(limit)
 
 
 def top_credentials(attempts: DataFrame, limit: int = 20) -> DataFrame:
     """Username and password pairs by use; nulls are grouped first and shown as empty after."""
+    named = attempts.filter(F.col("username").isNotNull()).groupBy("username", "password")
+    return credentials_of(named.agg(F.count("*").alias("count")), limit)
+
+
+def credentials_of(counted: DataFrame, limit: int = 20) -> DataFrame:
+    """The ranking of (username, password, count)."""
     check_limit(limit, 100)
     return (
-        attempts.filter(F.col("username").isNotNull())
-        .groupBy("username", "password")
-        .agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "username", F.asc_nulls_first("password"))
+        counted.orderBy(F.desc("count"), "username", F.asc_nulls_first("password"))
         .limit(limit)
         .select("username", F.coalesce("password", F.lit("")).alias("password"), "count")
     )
@@ -115,14 +132,14 @@ def top_credentials(attempts: DataFrame, limit: int = 20) -> DataFrame:
 
 def top_ports(attempts: DataFrame, limit: int = 10) -> DataFrame:
     """Target ports by attempts; the share is of the returned rows only."""
+    aimed = attempts.filter(F.col("dst_port").isNotNull()).groupBy("dst_port")
+    return ports_of(aimed.agg(F.count("*").alias("count")), limit)
+
+
+def ports_of(counted: DataFrame, limit: int = 10) -> DataFrame:
+    """The ranking of (dst_port, count)."""
     check_limit(limit, 50)
-    top = (
-        attempts.filter(F.col("dst_port").isNotNull())
-        .groupBy("dst_port")
-        .agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "dst_port")
-        .limit(limit)
-    )
+    top = counted.orderBy(F.desc("count"), "dst_port").limit(limit)
     return _with_total(top).select(
         F.col("dst_port").alias("port"), "count", percent(F.col("count"), F.col("total")).alias("percentage")
     )

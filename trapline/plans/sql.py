@@ -464,6 +464,22 @@ SELECT strftime(timestamp, '%Y-%m-%d %H:00') AS bucket, count(*) AS count FROM p
     "stream_unscored": "SELECT DISTINCT src_ip FROM bare_attempts WHERE src_ip NOT IN (SELECT ip FROM ip_scores)",
 }
 QUERIES["stream_overview"] = QUERIES["overview"]
+QUERIES["stream_intents"] = QUERIES["intent_breakdown"]
+QUERIES["stream_commands"] = QUERIES["top_commands"]
+QUERIES["stream_credentials"] = QUERIES["top_credentials"]
+QUERIES["stream_ports"] = QUERIES["top_ports"]
+QUERIES["stream_report"] = QUERIES["ingest_report"]
+QUERIES["stream_timeline_late"] = QUERIES["stream_timeline"].replace("%d %H:00", "%d")
+QUERIES["tail_growing_log"] = """
+SELECT src_ip, event_id, CAST(timestamp AS DATE) AS day, count(*) AS attempts, count(*) AS ids FROM attempts GROUP BY ALL"""
+QUERIES["tail_repeated_lines"] = """
+SELECT event_id, 2 * count(*) AS attempts, 2 * count(*) AS ids FROM attempts GROUP BY ALL"""
+# Asked when first seen, and again as soon as 60 seconds have passed: in every other batch.
+QUERIES["stream_unscored_retry"] = """
+WITH parts AS (SELECT seq, ntile(4) OVER (ORDER BY seq) - 1 AS part FROM raw_events),
+seen AS (SELECT src_ip, min(part) AS first FROM bare_attempts a JOIN parts p ON p.seq = a.id GROUP BY src_ip)
+SELECT src_ip, CAST(1 + (3 - first) // 2 AS INT) AS tries, (3 - first) % 2 = 0 AS due FROM seen
+WHERE src_ip NOT IN (SELECT ip FROM ip_scores)"""
 QUERIES["log_ingest"] = QUERIES["stream_attempts"]
 QUERIES["stream_late_file"] = """
 SELECT session_id, timestamp, event_id AS detail FROM attempts UNION ALL SELECT session_id, timestamp, sha256 FROM captured"""

@@ -7,7 +7,10 @@ there, so a streaming result can be compared with the batch one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timedelta
+
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trapline.operators import listing
@@ -17,9 +20,9 @@ from trapline.operators.sessions import locate_sessions
 from trapline.settings import work_folder
 from trapline.sources import tables, telemetry
 from trapline.sources.loglines import parse_lines, read_log, read_log_stream
+from trapline.sources.tail import open_folder, tail_log
 from trapline.sources.telemetry import AS_OF
-from trapline.streaming import ingest, reputation, sessions, timeline
-from trapline.streaming import rankings as running
+from trapline.streaming import counts, ingest, reputation, sessions
 
 # The log arrives in so many batches, each of one file or more of about so many lines.
 BATCHES = 4
@@ -238,50 +241,173 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
             system.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(target, name))
 
 
+# Folders of so many batches are merged in the queries, so that all levels occur.
+FAN = 2
+
+
+def _tracked_attempts(spark: SparkSession, folder: str) -> str:
+    """The counts of all attempts, stored batch by batch."""
+    target = work_folder(spark, "counts")
+    finish(counts.track_attempts(_located_stream(spark, folder), target, f"{target}-state", FAN))
+    return target
+
+
 @query
 def stream_timeline(spark, folder):
-    """Update mode: the last count of each bucket is its highest."""
     target = work_folder(spark, "timeline")
-    counts = timeline.live_timeline(_log_stream(spark, folder), "hour", "40 days")
+    finish(counts.track_timeline(_log_stream(spark, folder), target, f"{target}-state", FAN))
+    return counts.running_timeline(spark, target, "hour")
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    finish(
-        counts.writeStream.outputMode("update")
-        .foreachBatch(store)
-        .option("checkpointLocation", f"{target}-state")
-    )
-    return spark.read.parquet(target).groupBy("bucket").agg(F.max("count").alias("count"))
+@query
+def stream_timeline_late(spark, folder):
+    """Every other event comes a month late, in a second run, whose last batch is then stored a second time."""
+    log, target = work_folder(spark, "log"), work_folder(spark, "timeline")
+    lines = telemetry.log_lines(spark, folder)
+    for remainder, age in ((0, 0), (1, LATE_SECONDS)):
+        part = work_folder(spark, "log")
+        _write_files(lines.filter(F.col("seq") % 2 == remainder), BATCHES * _files_per_batch(lines), part)
+        _ship(spark, part, age)
+        _move(spark, part, log)
+        events = ingest.events_of(read_log_stream(spark, log, max_files_per_trigger=2 * _files_per_batch(lines)), AS_OF)
+        finish(counts.track_timeline(events, target, f"{target}-state", FAN))
+    _forget_last_commit(spark, f"{target}-state")
+    finish(counts.track_timeline(events, target, f"{target}-state", FAN))
+    return counts.running_timeline(spark, target, "day")
+
+
+def _forget_last_commit(spark: SparkSession, checkpoint: str) -> None:
+    """As if the driver had died after the last batch was stored and before that was noted."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = (status.getPath().getName() for status in system.listStatus(path))
+    last = max(int(name) for name in names if name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        system.delete(jvm.org.apache.hadoop.fs.Path(path, name), False)
 
 
 @query
 def stream_countries(spark, folder):
-    target = work_folder(spark, "countries")
+    return counts.running_countries(spark, _tracked_attempts(spark, folder))
 
-    def store(counted: DataFrame, batch_id: int) -> None:
-        counted.write.mode("overwrite").parquet(f"{target}/refresh={batch_id}")
 
-    finish(
-        running.running_countries(_located_stream(spark, folder))
-        .writeStream.outputMode("complete")
-        .foreachBatch(store)
-        .option("checkpointLocation", f"{target}-state")
-    )
-    return _last_refresh(spark, target)
+@query
+def stream_intents(spark, folder):
+    return counts.running_intents(spark, _tracked_attempts(spark, folder))
+
+
+@query
+def stream_commands(spark, folder):
+    return counts.running_commands(spark, _tracked_attempts(spark, folder))
+
+
+@query
+def stream_credentials(spark, folder):
+    return counts.running_credentials(spark, _tracked_attempts(spark, folder))
+
+
+@query
+def stream_ports(spark, folder):
+    return counts.running_ports(spark, _tracked_attempts(spark, folder), 2)
 
 
 @query
 def stream_overview(spark, folder):
-    target = work_folder(spark, "overview")
-    finish(running.running_overview(_located_stream(spark, folder), target, f"{target}-state", AS_OF))
-    return _last_refresh(spark, target)
+    return counts.running_overview(spark, _tracked_attempts(spark, folder), AS_OF)
+
+
+@query
+def stream_report(spark, folder):
+    """Accounting of a damaged log over four batches."""
+    log, target = work_folder(spark, "log"), work_folder(spark, "report")
+    damaged = telemetry.damaged_lines(spark, folder)
+    files = _files_per_batch(damaged)
+    damaged.select("line").repartition(BATCHES * files).write.text(log)
+    lines = read_log_stream(spark, log, max_files_per_trigger=files)
+    finish(counts.track_lines(lines, target, f"{target}-state", FAN))
+    return counts.running_report(spark, target)
+
+
+def _append(spark: SparkSession, lines: DataFrame, log: str) -> None:
+    """Lines in log order at the end of one file, which is there after; files that Spark wrote are copied in chunks."""
+    part = work_folder(spark, "log")
+    _write_files(lines, BATCHES * _files_per_batch(lines), part)
+    system, inner = open_folder(part)
+    target = open_folder(log)[1]
+    system.create_dir(target.rpartition("/")[0])
+    listed = system.get_file_info(fs.FileSelector(inner))
+    with system.open_append_stream(target) as sink:
+        for info in sorted(listed, key=lambda info: info.base_name):
+            if info.base_name.startswith("part-"):
+                with system.open_input_stream(info.path) as source:
+                    while chunk := source.read(1 << 20):
+                        sink.write(chunk)
+
+
+def _cut_log(spark: SparkSession, folder: str, log: str, store) -> None:
+    """One file that is missing, grows, is rotated and grows, and is truncated and written anew; ``store`` runs after each step."""
+    lines = telemetry.log_lines(spark, folder).withColumn("part", F.ntile(5).over(Window.orderBy("seq")))
+    system, inner = open_folder(log)
+    store()
+    for part in range(1, 6):
+        if part == 4:
+            # The third part has not been seen when the file gets its new name.
+            system.move(inner, f"{inner}.1")
+        if part == 5:
+            system.open_output_stream(inner).close()
+        _append(spark, lines.filter(F.col("part") == part), log)
+        if part != 3:
+            store()
+
+
+@query
+def tail_growing_log(spark, folder):
+    """Attempts of one log file, tailed over growth, rotation and truncation by runs of one checkpoint, with ids by position."""
+    log, target = f"{work_folder(spark, 'log')}/sensor.json", work_folder(spark, "store")
+    ranges = telemetry.geo_ranges(spark, folder)
+
+    def store() -> None:
+        events = ingest.events_of(tail_log(spark, log, piece_bytes=1 << 18), AS_OF)
+        finish(ingest.store_attempts(events, ranges, target, f"{target}-state"))
+
+    _cut_log(spark, folder, log, store)
+    stored = tables.load_table(spark, target, "attempts").drop(tables.DATE_COLUMN)
+    return stored.groupBy("src_ip", "event_id", F.col("timestamp").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_distinct("id").alias("ids")
+    )
+
 
+@query
+def tail_repeated_lines(spark, folder):
+    """Every line twice in one log file: two attempts with ids of their own, without any grouping."""
+    log, target = f"{work_folder(spark, 'log')}/sensor.json", work_folder(spark, "store")
+    lines = telemetry.log_lines(spark, folder)
+    _append(spark, lines.unionByName(lines), log)
+    events = ingest.events_of(tail_log(spark, log), AS_OF)
+    finish(ingest.store_attempts(events, telemetry.geo_ranges(spark, folder), target, f"{target}-state"))
+    stored = tables.load_table(spark, target, "attempts")
+    return stored.groupBy("event_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_distinct("id").alias("ids"))
 
-def _last_refresh(spark: SparkSession, target: str) -> DataFrame:
-    stored = spark.read.parquet(target)
-    last = stored.agg(F.max("refresh").alias("refresh"))
-    return stored.join(F.broadcast(last), "refresh", "left_semi").drop("refresh")
+
+@query
+def stream_unscored_retry(spark, folder):
+    """Addresses without an answer after four batches, 45 seconds apart: they are due again after a minute though they do not attack again."""
+    target = work_folder(spark, "pending")
+    log = work_folder(spark, "log")
+    lines = telemetry.log_lines(spark, folder).withColumn("part", F.ntile(BATCHES).over(Window.orderBy("seq")))
+    start = datetime.fromisoformat(AS_OF)
+    for part in range(1, BATCHES + 1):
+        _write_files(lines.filter(F.col("part") == part), _files_per_batch(lines), log)
+        attempts = build_attempts(ingest.events_of(read_log_stream(spark, log), AS_OF))
+        scores = telemetry.ip_scores(spark, folder).filter(F.lit(part > 2))
+        finish(
+            reputation.scan_pending(
+                *(attempts, lambda: scores, target, f"{target}-state"),
+                as_of=lambda batch_id: start + timedelta(seconds=45 * batch_id),
+            )
+        )
+    return reputation.state_after(spark, target, BATCHES - 1).drop("asked_at")
 
 
 @query

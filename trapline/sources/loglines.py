@@ -64,7 +64,7 @@ def _failed(event: Column) -> Column:
     )
 
 
-def _with_event(lines: DataFrame) -> DataFrame:
+def with_event(lines: DataFrame) -> DataFrame:
     """Non-blank lines with their ``event``, null for malformed and failed lines.
 
     The line is parsed inside brackets: text after the object then makes it
@@ -97,8 +97,9 @@ def parse_lines(lines: DataFrame, as_of: datetime | str | Column) -> DataFrame:
     """Log lines to events with defaults; blank, malformed and failed lines are dropped.
 
     ``as_of`` stands for the processing time, used where the timestamp text
-    cannot be read.  ``id`` is a hash of file and line, so it survives retries;
-    ``number_copies`` makes the ids of repeated lines distinct.  ``seq``, the log
+    cannot be read.  ``id`` is a hash of file and position where the lines have one, so that repeated
+    lines have ids of their own, else of file and line, where
+    ``number_copies`` makes them distinct; either survives retries.  ``seq``, the log
     order, is the time in microseconds.
     """
     event = F.col("event")
@@ -107,9 +108,9 @@ def parse_lines(lines: DataFrame, as_of: datetime | str | Column) -> DataFrame:
     columns = event_columns(lambda key: event[key], lambda key: listed & F.array_contains("present", key))
     copies = [name for name in ("copies",) if name in lines.columns]
     return (
-        _with_event(lines)
+        with_event(lines)
         .filter(event.isNotNull())
-        .select(F.xxhash64("file", "line").alias("id"), timestamp, *columns, *copies)
+        .select(F.xxhash64("file", "position" if "position" in lines.columns else "line").alias("id"), timestamp, *columns, *copies)
         .withColumn("seq", epoch_micros(F.col("timestamp")))
     )
 
@@ -146,7 +147,7 @@ def ingest_report(lines: DataFrame) -> DataFrame:
     Ignored events and private sources count as ingested.
     """
     return (
-        _with_event(lines)
+        with_event(lines)
         .agg(F.count("*").alias("total"), F.count("event").alias("ingested"))
         .select("total", "ingested", (F.col("total") - F.col("ingested")).alias("errors"))
     )
