@@ -303,6 +303,21 @@ def test_link_lists_outside_the_article_go():
     assert set(long) <= set(found) and len(found) < 20
 
 
+def test_unknown_sections_are_comments():
+    html = "<p>a<![foo[x]]>b</p><p>c<![if !IE]>d<![endif]></p><p>e<![CDATA[z]]>f</p><p>g<![>h</p>"
+    assert main_text.page_text(html) == "ab\ncd\nef\ngh"
+    assert main_text.page_text("<p>before</p><![foo").startswith("before")
+
+
+@pytest.mark.parametrize("page", ["<p>Text{}{}", "<i><div>Text{}{}</div>", "<p>Text{}</p>{}"])
+def test_deep_pages_with_stray_end_tags(page):
+    import time
+
+    start = time.process_time()
+    assert main_text.page_text(page.format("<span>" * 32_000, "</i>" * 32_000)) == "Text"
+    assert time.process_time() - start < 10  # a walk over all open elements for each took minutes
+
+
 def test_main_text_of_all_pages(spark):
     """The test pages keep their text in one article: take it out by patterns and compare."""
     import html

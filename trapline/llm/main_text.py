@@ -62,13 +62,15 @@ class Node:
     """An open or closed element.
 
     ``mark`` is None, or the kind of surroundings that it marks ("" if certain); ``around`` is the innermost
-    marked element, ``region`` the outermost article or main element, ``prose`` the running text it stands in.
+    marked element, ``region`` the outermost article or main element, ``prose`` the running text it stands in,
+    ``depth`` the number of elements that it stands in.
     """
 
-    __slots__ = ("tag", "parent", "hidden", "mark", "around", "ended", "article", "region", "prose")
+    __slots__ = ("tag", "parent", "depth", "hidden", "mark", "around", "ended", "article", "region", "prose")
 
     def __init__(self, tag: str, parent: "Node | None", hidden: bool, mark: str | None):
         self.tag, self.parent = tag, parent
+        self.depth = 0 if parent is None else parent.depth + 1
         self.hidden, self.mark = hidden, mark
         self.ended = tag in IMPLIED
         self.around = self if mark is not None else parent and parent.around
@@ -90,6 +92,7 @@ class LineParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.node = Node("", None, False, None)
+        self.open: dict[str, list[Node]] = {}  # open elements by tag, the innermost one last
         self.lines: list[tuple[str, int, Node]] = []  # text, tags, where it stands
         self._parts: list[str] = []
         self._tags = 0
@@ -101,29 +104,47 @@ class LineParser(HTMLParser):
         if text or self._tags:
             self._parts, self._tags = [], 0
 
+    def _enter(self, node: Node) -> None:
+        self.node = node
+        self.open.setdefault(node.tag, []).append(node)
+
+    def _back_to(self, parent: Node) -> None:
+        """Close everything within ``parent``."""
+        while self.node is not parent:
+            self.open[self.node.tag].pop()
+            self.node = self.node.parent
+
     def _leave(self, node: Node) -> None:
         """Close everything within ``node`` and the element itself."""
         self._line()
         node.ended = True
-        self.node = node.parent
+        self._back_to(node.parent)
+
+    def _innermost(self, tags: frozenset[str]) -> Node | None:
+        """The innermost open element of ``tags``, found without a walk however deep the page is."""
+        found = (self.open[tag][-1] for tag in tags if self.open.get(tag))
+        return max(found, key=lambda node: node.depth, default=None)
 
     def _open(self, tags: frozenset[str], until: frozenset[str]) -> Node | None:
         """The innermost open element of ``tags``, not looking beyond one of ``until``."""
-        node = self.node
-        while node.parent is not None:
-            if node.tag in tags:
-                return node
-            if node.tag in until:
-                return None
-            node = node.parent
-        return None
+        node = self._innermost(tags)
+        if node is None:
+            return None
+        limit = self._innermost(until)
+        return node if limit is None or limit.depth <= node.depth else None
 
     def _end_head(self) -> None:
-        node = self.node
-        while node.hidden:
-            if node.tag == "head":
-                self.node = node.parent
-            node = node.parent
+        head = self._innermost(frozenset(["head"]))
+        if self.node.hidden and head is not None:
+            self._back_to(head.parent)
+
+    def parse_marked_section(self, i, report=1):
+        """A section of unknown name is a comment up to the next ``>``, as browsers take it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i + 3)
+            return end + 1 if end >= 0 else len(self.rawdata)
 
     def handle_starttag(self, tag, attrs):
         inside = self.node.tag
@@ -131,7 +152,7 @@ class LineParser(HTMLParser):
             self._end_head()
         if self.node.hidden:
             if tag not in VOID:
-                self.node = Node(tag, self.node, True, None)
+                self._enter(Node(tag, self.node, True, None))
             return
         self._tags += 1
         if tag == "br":
@@ -147,7 +168,7 @@ class LineParser(HTMLParser):
         if tag in VOID:
             return
         hidden = tag in HIDDEN or any(name == "hidden" for name, _ in attrs)
-        self.node = Node(tag, self.node, hidden, self._mark(tag, dict(attrs)))
+        self._enter(Node(tag, self.node, hidden, self._mark(tag, dict(attrs))))
 
     def _mark(self, tag: str, attrs: dict) -> str | None:
         if (tag in AROUND and tag not in WRAPPERS) or (tag == "header" and not self.node.article):
@@ -179,7 +200,7 @@ class LineParser(HTMLParser):
             self._leave(node)
         else:
             node.ended = True
-            self.node = node.parent
+            self._back_to(node.parent)
 
     def handle_data(self, data):
         if self.node.tag == "head" and not data.isspace():
