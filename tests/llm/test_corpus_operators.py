@@ -266,6 +266,21 @@ def test_tool_calls(spark):
     assert linked(spark, [], []) == []
 
 
+def test_arguments_that_python_cannot_hold(spark):
+    calls = [
+        (1, "a", 0, "t", '{"x":"\\ud800"}', None),
+        (1, "b", 1, "t", "[" * 100_000, None),
+        (1, "c", 2, "t", "1" * 5_000, None),
+        (1, "d", 3, "t", '{"x":"\\ud83d\\ude00"}', None),
+    ]
+    calls = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, i, 9, "r") for i in "abcd"], "conv_id long, call_id string, turn long, content string")
+    found = {r.call_id: (r.status, r.errors, r.record) for r in tool_calls.link_calls(calls, results, {"t": {}}).collect()}
+    for bad in "abc":
+        assert found[bad][:2] == ("invalid", "arguments: not JSON")
+    assert found["d"] == ("ok", "", '{"arguments":{"x":"😀"},"id":"d","name":"t","result":"r"}')
+
+
 def test_a_long_conversation_is_ordered(spark):
     n = 3000
     calls = [(1, f"c{i}", (i * 7919) % n, "add", '{"x": 1}', f"c{i - 1}" if i else None) for i in range(n)]

@@ -26,8 +26,10 @@ TYPES = {
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and no escapes beyond the necessary; not for NaN or infinities."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no spaces and no escapes beyond the necessary; not for NaN, infinities or half characters."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()  # a lone surrogate is an error here already
+    return text
 
 
 def violations(value, schema: Mapping, path: str = "") -> list[str]:
@@ -97,7 +99,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
 
     Cases: of calls that share an identifier within a conversation the one of the smallest turn
     counts, then the smallest name and arguments; of several results the first by turn, then by content; a
-    dependency on an unknown call is none; rows without conversation or identifier cannot be linked and
+    dependency on an unknown call is none; arguments that nest too deep, or with half of a surrogate pair, are not JSON; rows without conversation or identifier cannot be linked and
     are left out; null arguments are not JSON; null content is null in the record; empty tables give no rows.  Other
     columns are not read.
     """
@@ -121,7 +123,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
                 try:
                     value = json.loads(arguments[i] or "")
                     canonical(value)
-                except ValueError:
+                except (ValueError, RecursionError):
                     value, errors = None, ["arguments: not JSON"]
                 else:
                     errors = violations(value, schemas[name[i]]) if name[i] in schemas else ["name: unknown tool"]
@@ -150,7 +152,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
         F.lit("orphan").alias("status"), F.lit("").alias("errors"),
         F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"))).alias("record"),
     )
-    rows = checked.unionByName(lost)
+    # Written before the sort, which looks at its input twice.
+    rows = written(checked.unionByName(lost), "calls-checked")
     return rows.orderBy("conv_id", F.col("level").asc_nulls_last(), "turn", "call_id")
 
 
