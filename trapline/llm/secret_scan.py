@@ -26,6 +26,9 @@ BASE = ("assign", "access", "hex")
 
 # Strings or alternatives that a query keeps apart at most; beyond, it asks for less.
 MOST = 32
+# Trigrams of an alternative that are looked for: so many of those with the fewest common letters.
+RARE = 3
+COMMON = "etaoinsrhldcu"
 
 # A query is a list of alternatives; a text must have all trigrams of one of them.
 Query = list[frozenset[str]]
@@ -111,6 +114,12 @@ def _query(pattern) -> Query:
     return _both(found, _of_strings(strings))
 
 
+def _rare(alternative: frozenset[str]) -> frozenset[str]:
+    """The trigrams of an alternative that are worth a search; any part of what a match must contain may be asked for."""
+    ordered = sorted(alternative, key=lambda trigram: (sum(c in COMMON for c in trigram), trigram))
+    return frozenset(ordered[:RARE])
+
+
 def trigram_query(pattern: str) -> Query | None:
     """Alternatives of lower-case trigrams, all of one of which every match contains; None if there are none."""
     query = _query(_parser.parse(pattern))
@@ -118,10 +127,14 @@ def trigram_query(pattern: str) -> Query | None:
 
 
 def trigram_index(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Postings (trigram, doc_id) of the given trigrams over lower-cased whole texts."""
-    text = F.lower(F.col(text_col))
+    """Postings (trigram, doc_id) of the given trigrams over lower-cased whole texts.
+
+    The one-element explode lowers each text in a step of its own; in one step, it would be lowered for every trigram.
+    """
+    lowered = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(F.lower(F.col(text_col)))).alias("lowered"))
+    text = F.col("lowered")
     present = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in trigrams)))
-    return docs.select(F.explode(present).alias("trigram"), F.col(id_col).alias("doc_id"))
+    return lowered.select(F.explode(present).alias("trigram"), "doc_id")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
@@ -203,6 +216,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     queries = {kind: query for kind, pattern, _, _ in rules if (query := trigram_query(pattern))}
+    queries = {kind: sorted(set(map(_rare, query)), key=sorted) for kind, query in queries.items()}
     trigrams = sorted({trigram for query in queries.values() for alternative in query for trigram in alternative})
     tried = rows
     if trigrams:
