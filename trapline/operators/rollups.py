@@ -25,19 +25,24 @@ def daily_stats(attempts: DataFrame) -> DataFrame:
     one task.
     """
 
-    def triple(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("name"), value.alias("value"))
-
-    triples = [triple("src_ip", F.col("src_ip"))]
-    for top, column in _TOPS.items():
-        value = filled(F.col(column)) if column == "command" else F.col(column)
-        triples.append(triple(top, value))
+    entries = [F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in summarised().items()]
     counted = (
-        attempts.select(day_label(F.col("timestamp")).alias("date"), F.inline(F.array(*triples)))
+        attempts.select(day_label(F.col("timestamp")).alias("date"), F.inline(F.array(*entries)))
         .filter(F.col("value").isNotNull())
         .groupBy("date", "name", "value")
         .agg(F.count("*").alias("n"))
     )
+    return daily_of(counted)
+
+
+def summarised() -> dict[str, Column]:
+    """The summarised columns by name."""
+    tops = {top: filled(F.col(column)) if column == "command" else F.col(column) for top, column in _TOPS.items()}
+    return {"src_ip": F.col("src_ip")} | tops
+
+
+def daily_of(counted: DataFrame) -> DataFrame:
+    """The summary of (date, name, value, n)."""
     per_column = counted.groupBy("date", "name").agg(
         F.sum("n").alias("rows"),
         F.count("*").alias("values"),

@@ -469,6 +469,11 @@ QUERIES["stream_commands"] = QUERIES["top_commands"]
 QUERIES["stream_credentials"] = QUERIES["top_credentials"]
 QUERIES["stream_ports"] = QUERIES["top_ports"]
 QUERIES["stream_report"] = QUERIES["ingest_report"]
+QUERIES["stream_daily_stats"] = QUERIES["daily_stats"]
+QUERIES["upsert_scores"] = QUERIES["merge_scores"]
+QUERIES["purge_stored"] = f"""
+SELECT session_id, timestamp, event_id AS detail FROM every_attempt WHERE NOT {_PRIVATE_IP} UNION ALL
+SELECT session_id, timestamp, sha256 FROM every_captured WHERE attempt_id NOT IN (SELECT id FROM every_attempt WHERE {_PRIVATE_IP})"""
 QUERIES["stream_timeline_late"] = QUERIES["stream_timeline"].replace("%d %H:00", "%d")
 QUERIES["tail_growing_log"] = """
 SELECT src_ip, event_id, CAST(timestamp AS DATE) AS day, count(*) AS attempts, count(*) AS ids FROM attempts GROUP BY ALL"""

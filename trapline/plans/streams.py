@@ -18,7 +18,7 @@ from trapline.operators.geo import enrich_geo
 from trapline.operators.ingest import build_attempts, captured_files, normalise
 from trapline.operators.sessions import locate_sessions
 from trapline.settings import work_folder
-from trapline.sources import tables, telemetry
+from trapline.sources import tables, telemetry, versions
 from trapline.sources.loglines import parse_lines, read_log, read_log_stream
 from trapline.sources.tail import open_folder, tail_log
 from trapline.sources.telemetry import AS_OF
@@ -317,6 +317,58 @@ def stream_overview(spark, folder):
     return counts.running_overview(spark, _tracked_attempts(spark, folder), AS_OF)
 
 
+@query
+def stream_daily_stats(spark, folder):
+    """The daily summary kept up over four arrivals, the second half of which is late."""
+    log, target = work_folder(spark, "log"), work_folder(spark, "days")
+    lines = telemetry.log_lines(spark, folder)
+    ranges = telemetry.geo_ranges(spark, folder)
+    for remainder, age in ((0, 0), (1, LATE_SECONDS)):
+        part = work_folder(spark, "log")
+        _write_files(lines.filter(F.col("seq") % 2 == remainder), BATCHES * _files_per_batch(lines), part)
+        _ship(spark, part, age)
+        _move(spark, part, log)
+        events = ingest.events_of(read_log_stream(spark, log, max_files_per_trigger=2 * _files_per_batch(lines)), AS_OF)
+        finish(counts.track_days(build_attempts(enrich_geo(events, ranges)), target, f"{target}-state", FAN))
+    return counts.running_days(spark, target)
+
+
+@query
+def upsert_scores(spark, folder):
+    """Scores merged into a store of buckets: all current ones, then the updates in two batches, the first of them twice."""
+    store = versions.score_store(spark, work_folder(spark, "scores"), 8)
+    versions.upsert_scores(store, telemetry.ip_scores(spark, folder))
+    updates = telemetry.score_updates(spark, folder)
+    for remainder in (0, 0, 1):
+        versions.upsert_scores(store, updates.filter(F.pmod(F.hash("ip"), F.lit(2)) == remainder))
+    return store.read()
+
+
+@query
+def purge_stored(spark, folder):
+    """Private sources purged from stored attempts and files, after a purge that died before it published the attempts."""
+    target = work_folder(spark, "store")
+    attempts, files = versions.attempt_store(spark, f"{target}-attempts"), versions.captured_store(spark, f"{target}-files")
+    unpurged = telemetry.unpurged(spark, folder)
+    for store, name in ((attempts, "attempts"), (files, "captured_files")):
+        store.replace(unpurged[name], [])
+
+    def die(manifest, version):
+        raise RuntimeError("the driver died")
+
+    dying = versions.attempt_store(spark, f"{target}-attempts")
+    dying._publish = die
+    try:
+        versions.purge_store(dying, files)
+    except RuntimeError:
+        pass
+    if attempts.version() != 1:
+        raise AssertionError("a purge that died has published")
+    versions.purge_store(attempts, files)
+    kept = attempts.read().select("session_id", "timestamp", F.col("event_id").alias("detail"))
+    return kept.unionByName(files.read().select("session_id", "timestamp", F.col("sha256").alias("detail")))
+
+
 @query
 def stream_report(spark, folder):
     """Accounting of a damaged log over four batches."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.functions.times import day_label, hour_label
-from trapline.operators import rankings
+from trapline.operators import rankings, rollups
 from trapline.sources.loglines import with_event
 
 # So many folders are merged into one of the next level.
@@ -44,6 +44,11 @@ def _attempt_groups() -> dict[str, Group]:
     }
 
 
+def _daily_groups() -> dict[str, Group]:
+    date = day_label(F.col("timestamp"))
+    return {name: Group([date, value], value.isNotNull()) for name, value in rollups.summarised().items()}
+
+
 def _timeline_groups() -> dict[str, Group]:
     fed = F.col("kind") != "closed"
     return {"hour": Group([hour_label(F.col("timestamp"))], fed), "day": Group([day_label(F.col("timestamp"))], fed)}
@@ -155,6 +160,11 @@ def track_attempts(attempts: DataFrame, folder: str, checkpoint: str, fan: int =
     return store_counts(attempts, _attempt_groups, folder, checkpoint, fan)
 
 
+def track_days(attempts: DataFrame, folder: str, checkpoint: str, fan: int = FAN):
+    """Writer of the counts that the daily summary is made of, so that late attempts change it without a look at others."""
+    return store_counts(attempts, _daily_groups, folder, checkpoint, fan)
+
+
 def track_timeline(events: DataFrame, folder: str, checkpoint: str, fan: int = FAN):
     """Writer of the feed events per hour and day, session starts included."""
     return store_counts(events, _timeline_groups, folder, checkpoint, fan)
@@ -205,8 +215,17 @@ def running_timeline(spark: SparkSession, folder: str, granularity: str = "hour"
     return _keyed(spark, folder, granularity, "bucket").drop("label")
 
 
+def running_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily summary of all attempts so far."""
+    folder = folder.rstrip("/")
+    found = merge(_read(spark, folder, cover(_spans(spark, folder))))
+    keys = [F.col("keys")[i].alias(column) for i, column in enumerate(("date", "value"))]
+    return rollups.daily_of(found.select("name", *keys, "n"))
+
+
 def running_report(spark: SparkSession, folder: str) -> DataFrame:
     """One row: non-blank lines, ingested lines, lines in error so far."""
+
     def of(name: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
 
