@@ -152,3 +152,23 @@ def test_display(spark):
     assert tuple(row) == (
         "1023 B", "1.5 KB", "2.5 MB", "—", "a.b.cowrie.c", "Data ExFil", "root:null", "unknown", "clean", 0, "a:b",
     )
+
+
+def test_ip_hex_and_prefixes(spark):
+    from trapline.functions.addresses import ip_hex, prefix_key
+
+    texts = ["::", "::1", "1::", "fe80::1%eth0", "2001:DB8::a:0:1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::ffff:1.2.3.4", "64:ff9b::10.0.255.1"]
+    texts += ["1.2.3.4", "255.255.255.255", "0.0.0.0", "", "x", "1.2.3", "1:2", "1::2::3", None]
+    found = spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", ip_hex(F.col("ip")).alias("hex")).collect()
+
+    def expected(text):
+        try:
+            address = ipaddress.ip_address((text or "").split("%")[0])
+        except ValueError:
+            return None
+        return f"{int(address) | (0xFFFF << 32 if address.version == 4 else 0):032x}"
+
+    assert {r.ip: r.hex for r in found} == {t: expected(t) for t in texts}
+    digits = spark.createDataFrame([("20010db8ffff0000000000000000abcd",), ("20010db8fffe0000000000000000abcd",)], "hex string")
+    same = {n: digits.select(prefix_key(F.col("hex"), n)).distinct().count() == 1 for n in (0, 1, 32, 46, 47, 48, 127, 128)}
+    assert same == {0: True, 1: True, 32: True, 46: True, 47: True, 48: False, 127: False, 128: False}

@@ -164,6 +164,36 @@ def with_ip_number(frame: DataFrame, ip: Column, into: str) -> DataFrame:
     )
 
 
+def ip_hex(ip: Column) -> Column:
+    """The 128 bits of a valid address as 32 hex digits, an IPv4 one as the IPv6 address that wraps it; null for other text."""
+
+    def four(octets: Column) -> Column:
+        number = F.split(octets, r"\.")
+        return F.concat(*(F.lpad(F.lower(F.hex(number[i].cast("bigint"))), 2, "0") for i in range(4)))
+
+    def groups(text: Column) -> Column:
+        return F.filter(F.split(text, ":"), lambda group: group != "")
+
+    tail = F.regexp_extract(ip, rf"({_IPV4_BODY})(?:%.*)?\z", 1)
+    plain = F.lower(F.regexp_replace(ip, r"%.*\z", ""))
+    hexed = F.when(tail != "", F.concat(F.regexp_replace(plain, rf"{_IPV4_BODY}\z", ""), F.substring(four(tail), 1, 4), F.lit(":"), F.substring(four(tail), 5, 4)))
+    text = F.coalesce(hexed, plain)
+    left, right = groups(F.substring_index(text, "::", 1)), groups(F.substring_index(text, "::", -1))
+    both = F.when(F.contains(text, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right))
+    wide = F.array_join(F.transform(F.coalesce(both, left), lambda group: F.lpad(group, 4, "0")), "")
+    return F.when(is_ipv4(ip), F.concat(F.lit("0" * 20 + "ffff"), four(ip))).when(is_ipv6(ip), wide)
+
+
+def prefix_key(hex_digits: Column, bits: int) -> Column:
+    """The first so many bits of 32 hex digits, as text: whole digits and the number that is left of the next one."""
+    whole, rest = divmod(bits, 4)
+    key = F.substring(hex_digits, 1, whole)
+    if not rest:
+        return key
+    digit = F.conv(F.substring(hex_digits, whole + 1, 1), 16, 10).cast("int")
+    return F.concat(key, F.lit("/"), F.shiftright(digit, 4 - rest).cast("string"))
+
+
 def is_valid_ip(ip: Column) -> Column:
     """True for valid IPv4 or IPv6 text, false for anything else including null."""
     return F.coalesce(is_ipv4(ip) | is_ipv6(ip), F.lit(False))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.functions.addresses import with_ip_number
+from trapline.functions.addresses import ip_hex, is_ipv4, prefix_key, with_ip_number
 from trapline.functions.display import filled
 from trapline.operators.arguments import check_limit
 
 # Address prefixes that are never looked up.
 SKIPPED_PREFIXES = ["10.", "172.16.", "192.168.", "127.", "0."]
 
+_PLACE = ["country_code", "country_name", "city", "latitude", "longitude", "asn", "as_org"]
+
 # Events without a usable address get one of this many keys that match nothing,
 # so that they do not meet in one partition of a shuffled join.
 _NO_MATCH_KEYS = 4096
@@ -84,6 +86,51 @@ def enrich_geo(events: DataFrame, geo_ranges: DataFrame, bucket_bits: int = 16,
     )
 
 
+def enrich_networks(events: DataFrame, networks: DataFrame) -> DataFrame:
+    """Add place columns by the longest network that holds ``src_ip``, IPv4 or IPv6.
+
+    ``networks``: network (address, slash, length) and the place columns of ``enrich_geo``'s ranges.  Networks may lie
+    within others; IPv4 ones also hold the IPv6 addresses that wrap theirs.  Of equal networks one is taken, the smallest by its columns.
+
+    Each distinct address is looked up once, under its prefix of every length that occurs, by one equality
+    join without a hint.  A miss, which text that is no address is too, gives empty text and 0.0, not null; only ``asn`` is null.
+    """
+    address, length = F.substring_index("network", "/", 1), F.substring_index("network", "/", -1).try_cast("int")
+    places = networks.select(
+        ip_hex(address).alias("hex"),
+        (length + F.when(is_ipv4(address), 96).otherwise(0)).alias("bits"),
+        F.struct(
+            F.coalesce("country_code", F.lit("")).alias("country_code"),
+            F.coalesce("country_name", F.lit("")).alias("country_name"),
+            F.coalesce(filled(F.col("city")), F.col("subdivision"), F.lit("")).alias("city"),
+            F.coalesce("latitude", F.lit(0.0)).alias("latitude"),
+            F.coalesce("longitude", F.lit(0.0)).alias("longitude"),
+            F.col("asn").alias("asn"),
+            F.coalesce("as_org", F.lit("")).alias("as_org"),
+        ).alias("place"),
+    ).filter(F.col("hex").isNotNull() & F.col("bits").between(0, 128))
+    # At most 129 lengths.
+    lengths = sorted(row.bits for row in places.select("bits").distinct().collect())
+    if not lengths:
+        lengths = [128]
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        cases = [F.struct(F.lit(bits).alias("bits"), prefix_key(F.col("hex"), bits).alias("prefix")) for bits in lengths]
+        return rows.withColumn("keys", F.array(*cases))
+
+    network = keyed(places).select("bits", "place", F.filter("keys", lambda key: key["bits"] == F.col("bits"))[0]["prefix"].alias("prefix"))
+    network = network.groupBy("bits", "prefix").agg(F.min("place").alias("place"))
+    seen = events.select(F.col("src_ip").alias("seen_ip")).distinct().withColumn("hex", ip_hex(F.col("seen_ip")))
+    looked_up = keyed(seen.filter("hex IS NOT NULL")).select("seen_ip", F.inline("keys"))
+    found = looked_up.join(network, ["bits", "prefix"]).groupBy("seen_ip").agg(F.max_by("place", "bits").alias("found_place"))
+    joined = events.join(found, F.col("src_ip") == F.col("seen_ip"), "left")
+    missing = {"latitude": F.lit(0.0), "longitude": F.lit(0.0), "asn": F.lit(None)}
+    return joined.select(
+        *events.columns,
+        *(F.coalesce(F.col(f"found_place.{name}"), missing.get(name, F.lit(""))).alias(name) for name in _PLACE),
+    )
+
+
 def geo_pins(attempts: DataFrame, limit: int = 500, dedupe: bool = False, drop_unresolved: bool = False) -> DataFrame:
     """The latest attempt of each address with its attempt count, the busiest addresses first.
 

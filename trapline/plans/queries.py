@@ -326,6 +326,12 @@ def merge_scores(spark, folder):
     return addresses.merge_scores(_scores(spark, folder), telemetry.score_updates(spark, folder))
 
 
+@query
+def places_v6(spark, folder):
+    """Places of IPv4 and IPv6 sources by networks, the longest prefix first."""
+    return geo.enrich_networks(telemetry.mixed_sources(spark, folder), telemetry.networks(spark, folder)).drop("src_ip")
+
+
 @query
 def address_tests(spark, folder):
     """All address functions on every source address."""

@@ -468,6 +468,16 @@ QUERIES["stream_intents"] = QUERIES["intent_breakdown"]
 QUERIES["stream_commands"] = QUERIES["top_commands"]
 QUERIES["stream_credentials"] = QUERIES["top_credentials"]
 QUERIES["stream_ports"] = QUERIES["top_ports"]
+# A /47 holds two neighbours of the second octet, a /16 one.
+QUERIES["places_v6"] = """
+WITH octets AS (
+ SELECT seq, split_part(src_ip, '.', 1)::BIGINT AS a, split_part(src_ip, '.', 2)::BIGINT AS b, seq % 4 IN (1, 2) AS wide6 FROM raw_events)
+SELECT seq, coalesce('N' || n_nationkey, '') AS country_code, coalesce(n_name, '') AS country_name,
+ CASE WHEN n_nationkey IS NULL THEN '' WHEN wide6 AND (a * 256 + b) // 2 = ((11 + 7 * n_nationkey) * 256 + n_nationkey) // 2 THEN 'narrow'
+  WHEN NOT wide6 AND b = n_nationkey THEN 'narrow' ELSE 'wide' END AS city,
+ coalesce(n_nationkey::DOUBLE, 0.0::DOUBLE) AS latitude, coalesce(0.0::DOUBLE - n_nationkey, 0.0::DOUBLE) AS longitude, n_nationkey::BIGINT AS asn,
+ coalesce('AS-' || n_name, '') AS as_org
+FROM octets LEFT JOIN nation ON 11 + 7 * n_nationkey = a"""
 QUERIES["stream_report"] = QUERIES["ingest_report"]
 QUERIES["stream_daily_stats"] = QUERIES["daily_stats"]
 QUERIES["upsert_scores"] = QUERIES["merge_scores"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.operators.geo import enrich_geo
@@ -191,3 +191,45 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(DAMAGED, lines=log_lines(spark, folder))
+
+
+def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """(seq, src_ip): the raw events' sources, three of four as IPv6 addresses in several spellings."""
+    octet = [F.substring_index(F.substring_index("src_ip", ".", i), ".", -1).cast("bigint") for i in (1, 2, 3)]
+    middle, last = F.lower(F.hex(octet[0] * 256 + octet[1])), F.lower(F.hex(octet[2]))
+    kind = F.col("seq") % 4
+    text = (
+        F.when(kind == 1, F.concat(F.lit("2001:db8:"), middle, F.lit("::"), last))
+        .when(kind == 2, F.concat(F.lit("2001:0DB8:"), F.upper(middle), F.lit(":0:0:0:0:"), last))
+        .when(kind == 3, F.concat(F.lit("::ffff:"), F.col("src_ip")))
+        .otherwise(F.col("src_ip"))
+    )
+    return raw_events(spark, folder).select("seq", text.alias("src_ip"))
+
+
+def networks(spark: SparkSession, folder: str) -> DataFrame:
+    """Places by network: for each nation a wide and a narrow one, of IPv4 and IPv6 each."""
+    nation = read_table(spark, folder, "nation")
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    first = 11 + 7 * key
+    wide, narrow = F.lower(F.hex(first * 256)), F.lower(F.hex(first * 256 + key))
+
+    def place(network, city) -> Column:
+        return F.struct(network.alias("network"), city.alias("city"))
+
+    listed = F.array(
+        place(F.concat(first.cast("string"), F.lit(".0.0.0/8")), F.lit("wide")),
+        place(F.concat_ws(".", first.cast("string"), key.cast("string"), F.lit("0.0/16")), F.lit("narrow")),
+        place(F.concat(F.lit("2001:db8:"), wide, F.lit("::/40")), F.lit("wide")),
+        place(F.concat(F.lit("2001:db8:"), narrow, F.lit("::/47")), F.lit("narrow")),
+    )
+    columns = [
+        F.concat(F.lit("N"), key.cast("string")).alias("country_code"),
+        name.alias("country_name"),
+        F.lit("sub").alias("subdivision"),
+        key.cast("double").alias("latitude"),
+        (-key).cast("double").alias("longitude"),
+        key.cast("bigint").alias("asn"),
+        F.concat(F.lit("AS-"), name).alias("as_org"),
+    ]
+    return nation.select(F.inline(listed), *columns)
