@@ -373,3 +373,21 @@ def test_null_ids_are_judged_row_by_row(spark):
     planted = spark.createDataFrame([(None, clean, "en", "s"), (None, FOREIGN[0] * 5, None, "s")], docs.schema)
     left = corpus_pipeline.language(spark, docs.unionByName(planted), SMALL).filter("doc_id IS NULL")
     assert [row.text for row in left.collect()] == [clean]
+
+
+CLASHES = ["gone_key", "repeated_key", "document_key", "pipeline_key", "pipeline_gone", "pipeline_several", "kept", "component_id"]
+
+
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark):
+    text = "The quick brown fox jumps over the lazy dog and runs away into the dark wood. "
+    rows = [(i, text * 3 + f"Number {i % 4} of them.", "en", f"s{i % 2}", 1) for i in range(12)]
+    rows += [(20, "Twice the same row.", "en", None, 1)] * 2 + [(None, None, None, None, None), (21, "", "en", "a", 0), (21, "other", "en", "a", 0)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, shape).withColumns({name: F.lit(f"of {name}") for name in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, None)
+        assert kept.columns == docs.columns, name
+        assert {tuple(row[c] for c in CLASHES) for row in kept.collect()} <= {tuple(f"of {c}" for c in CLASHES)}
+        assert stage(spark, docs.limit(0), None).collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, None).count() == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), None).collect() == []

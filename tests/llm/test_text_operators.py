@@ -162,6 +162,37 @@ def test_language_of_held_out_documents(spark, odd, none):
     assert language.identify(none).collect() == []
 
 
+def test_language_against_a_dictionary(spark):
+    """Naive Bayes in dictionaries over the same buckets, with all that is learnt counted text by text."""
+    import math
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(50).collect()
+    counts, seen = defaultdict(Counter), Counter()
+
+    def buckets(text):
+        return language.hashed_ngrams([text])[0].tolist()
+
+    for doc in docs:
+        if doc.text and doc.lang and zlib.crc32(str(doc.doc_id).encode()) % 4 != 2:
+            counts[doc.lang].update(buckets(doc.text))
+            seen[doc.lang] += 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame).collect()}
+    for doc in docs:
+        if not any(map(str.isalpha, doc.text or "")):
+            assert found[doc.doc_id] == ("und", 0.0)
+            continue
+        scores = {}
+        for lang, known in counts.items():
+            total = sum(known.values()) + language.SMOOTHING * language.BUCKETS
+            scores[lang] = math.log(seen[lang] / sum(seen.values())) + sum(
+                math.log((known[b] + language.SMOOTHING) / total) for b in buckets(doc.text)
+            )
+        best = max(sorted(scores), key=scores.get)
+        share = 1 / sum(math.exp(s - scores[best]) for s in scores.values())
+        assert found[doc.doc_id][0] == best and found[doc.doc_id][1] == pytest.approx(share, abs=1e-6)
+
+
 def test_ngrams_do_not_cross_texts():
     alone = [language.hashed_ngrams([text])[0].tolist() for text in ("abc", "d", "éfgh")]
     together, starts = language.hashed_ngrams(["abc", "d", "éfgh"])
