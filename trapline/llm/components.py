@@ -30,16 +30,23 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
 
 
-def partial_components(links: DataFrame, rounds: int = 1) -> DataFrame:
-    """(node, component) after a few rounds: equal labels are connected, connected nodes may still have different ones.
+def contracted(links: DataFrame, rounds: int = 1) -> DataFrame:
+    """Links (a, b) that connect the same nodes, after a few rounds: nearly one for each node, to the smallest of its group.
 
-    Enough where labels only save work.  One round is nearly complete for links that form stars, two for
-    groups whose members have many links.
+    One round is nearly complete for links that form stars, two for groups whose members have many links.
     """
-    edges = _small_star(_large_star(_ordered(links)))
-    for _ in range(rounds - 1):
-        edges = _small_star(_large_star(written(edges, "component-round")))
-    return _labels(edges)
+    edges = _ordered(links)
+    for _ in range(rounds):
+        edges = written(_small_star(_large_star(edges)), "component-round")
+    return edges.select(F.col("high").alias("a"), F.col("low").alias("b"))
+
+
+def partial_labels(links: DataFrame) -> DataFrame:
+    """(node, component) of contracted links: equal labels are connected, connected nodes may still have different ones.
+
+    Enough where labels only save work.
+    """
+    return _labels(links.select(F.col("a").alias("high"), F.col("b").alias("low")))
 
 
 def _labels(edges: DataFrame) -> DataFrame:

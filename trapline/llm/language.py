@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,17 +132,16 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     rows.  Other columns of ``docs`` are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).alias("lang"))
-    return judged(rows, model).select("doc_id", "lang_pred", "score")
+    return judged(rows, rows.sparkSession.sparkContext.broadcast(model)).select("doc_id", "lang_pred", "score")
 
 
-def judged(rows: DataFrame, model: LanguageModel) -> DataFrame:
+def judged(rows: DataFrame, shared: Broadcast[LanguageModel]) -> DataFrame:
     """As ``predict``, over rows (doc_id, text, lang), with lang as given and ``fit``.
 
     ``fit`` is the mean log probability of the n-grams in the predicted language.  It does not grow with the length of a text as the odds between languages do; it is null for ``und``.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)
     # So many characters at a time that the gathered log probabilities stay within some 50 MB.
-    most = max(1 << 12, (1 << 21) // max(1, len(model.languages)) // ORDERS)
+    most = max(1 << 12, (1 << 21) // max(1, len(shared.value.languages)) // ORDERS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -204,8 +204,9 @@ def known_language(
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    model = fit(rows.filter(F.col("doc_id").isNotNull() & ~held_out()))
-    found = written(judged(rows, model), "language-fits")
+    shared = rows.sparkSession.sparkContext.broadcast(fit(rows.filter(F.col("doc_id").isNotNull() & ~held_out())))
+    found = written(judged(rows, shared), "language-fits")
+    shared.destroy()
     spread = F.percentile_approx("fit", [LOW_FIT, 0.5], 10_000)
     fits = found.filter("lang = lang_pred").groupBy("lang_pred").agg(spread.alias("fits"))
     fits = fits.select("lang_pred", (2 * F.col("fits")[0] - F.col("fits")[1]).alias("least_fit"))

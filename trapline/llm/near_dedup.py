@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.components import components, partial_components
+from trapline.llm.components import components, contracted, partial_labels
 from trapline.llm.shared import slices, written
+from trapline.llm.words import spread, word_hashes
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -30,37 +31,17 @@ BANDS = REGISTERS // BAND_REGISTERS
 DEVIATIONS = 5.0
 # Up to so many sets of a bucket are compared one with another; larger buckets are split by the rarest shingles of their members.
 BUCKET = 32
-# Pivots of a bucket in each turn, before and after large buckets are split.
+# Pivots of a bucket in each turn, before and after large buckets are split, and how many of a hand's pivots a set asks.
 PIVOTS = ((1,), (32, 128))
-# Rounds in which links become labels, before and after.
-LABEL_ROUNDS = (1, 2)
+ASKED = (3, 1)
+# Rounds in which the links of a turn are contracted.
+LINK_ROUNDS = 1
+# A set of more than a thousandth of all rows is frequent; there are fewer than so many.
+FREQUENT = 1_000
 # Shingles are counted in so many cells by the leading bits of their hashes, to order them by rarity.
 CELL_BITS = 18
 
-_draw = np.random.default_rng(2024)
-_BYTES = _draw.integers(1, 1 << 63, 256, np.uint64)
-_WORDS = _draw.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
-_BASE = 0xD6E8FEB86659FD93
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(2 * n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
-
-
-def _spread(values: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+_WORDS = np.random.default_rng(2024).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
 def shingle_sets(texts: list[str], words: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -69,28 +50,20 @@ def shingle_sets(texts: list[str], words: int = SHINGLE_WORDS) -> list[np.ndarra
     A-Z count as a-z; words are runs without ASCII white space.  Fewer than
     ``words`` words make one shingle together; a text without words has none.
     """
-    raw = [text.encode().lower() for text in texts]
-    codes = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    edges = np.flatnonzero(np.diff(_IS_SPACE[codes], prepend=True))
-    begins, ends = edges[0::2], edges[1::2]
-    # A word's hash is a polynomial in its bytes, taken as a difference of running sums.
-    powers, inverse = _powers_to(len(codes))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[codes] * powers[: len(codes)], dtype=np.uint64)])
-    hashes = _spread((sums[ends] - sums[begins]) * inverse[begins])
+    hashes, ends = word_hashes(texts)
     count = max(0, len(hashes) - words + 1)
     shingles = np.zeros(count, np.uint64)
     for i in range(words):
         shingles += hashes[i : i + count] * _WORDS[i]
-    shingles = _spread(shingles)
-    text_ends = np.cumsum([len(text) + 1 for text in raw])
-    lasts = np.searchsorted(begins, text_ends).tolist()
+    shingles = spread(shingles)
+    lasts = ends.tolist()
     sets, first = [], 0
     for last in lasts:
         if last - first >= words:
             sets.append(np.unique(shingles[first : last - words + 1]))
         elif last > first:
             short = (hashes[first:last] * _WORDS[: last - first]).sum(dtype=np.uint64, keepdims=True)
-            sets.append(_spread(short + np.uint64(last - first)))
+            sets.append(spread(short + np.uint64(last - first)))
         else:
             sets.append(shingles[:0])
         first = last
@@ -252,7 +225,10 @@ def _split(large: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
     lists = texts.join(sets, "doc_id").select("doc_id", "text", "least")
     lists = lists.mapInArrow(task, "rep long, n long, firsts array<long>")
-    return lists.select("rep", "n", F.posexplode("firsts").alias("place", "key")).select("key", "rep", "n", "place")
+    rows = lists.select("rep", "n", F.posexplode("firsts").alias("place", "key")).select("key", "rep", "n", "place")
+    rows = written(rows, "near-split")
+    cells.destroy()
+    return rows
 
 
 _MEMBER = ("rep", "n", "place", "label")
@@ -262,22 +238,32 @@ def _shared(rows: DataFrame) -> DataFrame:
     """Rows of buckets with two sets or more: key, rep, n, place, members, least (the smallest size), label (itself), degree."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"))
     shared = rows.join(sizes.filter("members > 1"), "key")
-    return written(shared.select("*", F.col("rep").alias("label"), F.lit(0).cast("long").alias("degree")), "near-shared")
+    return shared.select("*", F.col("rep").alias("label"), F.lit(0).cast("long").alias("degree"))
 
 
-def _with_pivots(rows: DataFrame, turn: int, pivots: int) -> DataFrame:
-    """Pairs (a, b) of every set with its bucket's pivots, if they have other labels.
+def _proposals(rows: DataFrame, turn: int, hands: int, asked: int) -> DataFrame:
+    """Pairs (a, b) of every set with ``asked`` pivots of each hand, if they have other labels.
 
-    Every bucket is dealt into ``pivots`` hands, and the pivot of a hand has the most links so far; among
-    equals, the order is the same in all buckets, so that the bands of a group have few pivots between them.
+    Every bucket is dealt into ``hands`` hands, and the pivot of a hand has the most links so far; among
+    equals, the order is the same in all buckets, so that the bands of a group have few pivots between them.  Of the pivots of
+    its buckets a set asks the first in that order, so a turn makes so many pairs for each set and hand at most; the others
+    have their turn if these do not link.
     """
-    hand = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(pivots)).alias("hand")
+    hand = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(hands)).alias("hand")
     order = F.struct(-F.col("degree"), F.xxhash64("rep", F.lit(turn)))
     pivots = rows.groupBy("key", hand).agg(F.min(F.struct(order.alias("order"), *_MEMBER)).alias("pivot"))
-    columns = [F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in _MEMBER]
+    columns = [F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("order", *_MEMBER)]
     paired = rows.select("key", *(F.col(c).alias(f"own_{c}") for c in _MEMBER))
-    paired = paired.join(pivots.select("key", *columns), "key").filter("own_label != pivot_label")
-    return paired.filter(_may_link("own", "pivot")).select(*_pair("own_rep", "pivot_rep"))
+    paired = paired.join(pivots.select("key", "hand", *columns), "key").filter("own_label != pivot_label")
+    grouped = paired.filter(_may_link("own", "pivot")).groupBy("own_rep", "hand")
+    one = F.struct("pivot_order", "pivot_rep")
+    if asked == 1:
+        first = grouped.agg(F.min(one).alias("first"))
+    else:
+        # A set has a pivot for each of its bands at most.
+        several = grouped.agg(F.slice(F.array_sort(F.collect_set(one)), 1, asked).alias("firsts"))
+        first = several.select("own_rep", F.explode("firsts").alias("first"))
+    return first.select(*_pair("own_rep", "first.pivot_rep"))
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -290,24 +276,51 @@ def _across(rows: DataFrame) -> DataFrame:
     return found.filter(_may_link("left", "right")).select(F.col("left_rep").alias("a"), F.col("right_rep").alias("b"))
 
 
-def _mixed(rows: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+def _mixed(rows: DataFrame, found: Found) -> DataFrame:
     """Rows of buckets with members in different components, with their component so far as ``label`` and number of links."""
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-    labels = written(partial_components(links, rounds).join(degrees, "node"), "near-labels")
+    labels = partial_labels(found.edges).join(found.degrees(), "node", "left")
+    labels = written(labels.select("node", "component", "degree"), "near-labels")
     labelled = rows.drop("label", "degree").join(labels, rows.rep == labels.node, "left")
     labelled = labelled.select(
         *("key", "rep", "n", "place", "members", "least"),
         F.coalesce("component", "rep").alias("label"),
-        F.coalesce("count", F.lit(0)).cast("long").alias("degree"),
+        F.coalesce("degree", F.lit(0)).cast("long").alias("degree"),
     )
     several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     return written(labelled.join(several.filter("low != high").select("key"), "key"), "near-mixed")
 
 
-def _links(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Links (a, b) that connect all representatives which any chain of links connects.
+class Found:
+    """What the turns so far have found: pairs tested, links confirmed, and contracted links that connect the same sets."""
+
+    def __init__(self, docs: DataFrame, words: int):
+        self.docs, self.words = docs, words
+        self.tested: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.edges: DataFrame | None = None
+
+    def test(self, pairs: DataFrame, sketches: DataFrame | None) -> None:
+        """Test those of ``pairs`` that have not been tested before; with ``sketches``, those that pass the estimate."""
+        pairs = pairs.distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        new = written(pairs, "near-pairs")
+        links = _confirmed(_estimated(new, sketches) if sketches else new, self.docs, self.words)
+        self.tested = new if self.tested is None else self.tested.unionByName(new)
+        self.links = links if self.links is None else self.links.unionByName(links)
+        # What turns connect is carried on as nearly one link for each set, however many a group's members have.
+        self.edges = contracted(links if self.edges is None else self.edges.unionByName(links), LINK_ROUNDS)
 
-    In every bucket all sets are paired with one of them, the pivot, and those that
+    def degrees(self) -> DataFrame:
+        """(node, degree): confirmed links of each set."""
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("node"))
+        return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def _found(reps: DataFrame, docs: DataFrame, words: int) -> Found:
+    """Links that connect all representatives which any chain of links connects.
+
+    In every bucket sets are paired with one of them, the pivot, and those that
     pass are linked, in a few turns with other pivots for buckets whose sets are not yet in one
     component.  Then up to BUCKET sets are paired with each other, where their components
     differ, and larger buckets are split by ``_split``, where the same follows; what is then
@@ -316,33 +329,38 @@ def _links(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """
     bands = reps.select("rep", "n", F.posexplode("bands").alias("band", "value")).filter("value != 0")
     rows = bands.select(F.xxhash64("band", "value").alias("key"), "rep", "n", F.lit(0).alias("place"))
-    tested = links = None
+    found = Found(docs, words)
     for last in (False, True):
-        open_rows = _shared(rows)
+        open_rows = _mixed(_shared(rows), found) if last else written(_shared(rows), "near-shared")
         # Sets that meet in a rare shingle have passed as good a filter as the estimate.
         sketches = None if last else reps
-        for turn, pivots in enumerate(PIVOTS[last]):
-            tested, links = _tested(_with_pivots(open_rows, turn, pivots), tested, links, sketches, docs, words)
-            # In buckets of two, the pivot's pair was all there is.
-            open_rows = _mixed(open_rows.filter("members > 2"), links, LABEL_ROUNDS[last])
-        compared = open_rows if last else open_rows.filter(F.col("members") <= BUCKET)
-        tested, links = _tested(_across(compared), tested, links, sketches, docs, words)
+        for turn, hands in enumerate(PIVOTS[last]):
+            found.test(_proposals(open_rows, turn, hands, ASKED[last]), sketches)
+            open_rows = _mixed(open_rows, found)
+        found.test(_across(open_rows if last else open_rows.filter(F.col("members") <= BUCKET)), sketches)
         large = open_rows.filter(F.col("members") > BUCKET)
         if last or large.isEmpty():
-            return links
-        rows = written(_split(large, docs, words), "near-split")
+            return found
+        rows = _split(large, docs, words)
 
 
-def _tested(
-    pairs: DataFrame, before: DataFrame | None, links: DataFrame | None, sketches: DataFrame | None, docs: DataFrame, words: int
-) -> tuple[DataFrame, DataFrame]:
-    """Tested pairs and links, with those of ``pairs`` that had not been tested before."""
-    pairs = pairs.distinct()
-    new = written(pairs if before is None else pairs.join(before, ["a", "b"], "left_anti"), "near-pairs")
-    found = _confirmed(_estimated(new, sketches) if sketches else new, docs, words)
-    if before is None:
-        return new, found
-    return before.unionByName(new), links.unionByName(found)
+def _classes(known: DataFrame) -> DataFrame:
+    """``known`` with ``rep``, the smallest id with the same set.
+
+    Sets of more than a FREQUENTth of all rows are fewer than FREQUENT: their smallest ids are broadcast, so
+    that their rows meet in no task.
+    """
+    classes = written(
+        known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "near-digests"
+    )
+    most = (classes.agg(F.sum("size")).first()[0] or 0) // FREQUENT
+    frequent = classes.filter(F.col("size") > most).filter("size > 1").select("digest", F.col("rep").alias("frequent_rep"))
+    if most < 1:
+        return known.join(classes.select("digest", "rep"), "digest")
+    marked = known.join(F.broadcast(frequent), "digest", "left")
+    often = marked.filter("frequent_rep IS NOT NULL").withColumnRenamed("frequent_rep", "rep")
+    seldom = marked.filter("frequent_rep IS NULL").drop("frequent_rep").join(classes.select("digest", "rep"), "digest")
+    return often.unionByName(seldom)
 
 
 def near_dedup(
@@ -357,7 +375,7 @@ def near_dedup(
 
     Method: equal sets form a class of which one document goes on.  Its HyperMinHash
     registers are banded, candidates from shared bands pass the collision-corrected
-    estimate and are then verified on full sets (see ``_links``).  No bucket
+    estimate and are then verified on full sets (see ``_found``).  No bucket
     is ever collected.
 
     Cases: a null text counts as empty; sets without words link with nothing;
@@ -372,19 +390,17 @@ def near_dedup(
     )
     signed = written(signatures(rows, shingle_words), "near-signatures")
     known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = written(
-        known.join(classes, "digest").select(
+        _classes(known).select(
             "doc_id", "rep", F.col("n_shingles").alias("n"), F.expr("CASE WHEN doc_id = rep THEN bands END").alias("bands")
         ),
         "near-classes",
     )
     reps = members.filter("bands IS NOT NULL").select("rep", "n", "bands").dropDuplicates(["rep"])
     reps = written(reps, "near-representatives")
-    links = _links(reps, rows, shingle_words)
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").count()
-    labels = labels.join(degree, labels.node == degree.linked, "left").select("node", "component", "count")
+    found = _found(reps, rows, shingle_words)
+    labels = components(found.edges).join(found.degrees().withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    labels = labels.select("node", "component", F.col("degree").alias("count"))
     nodes = members.select("doc_id", "rep").distinct().join(labels, F.col("rep") == F.col("node"), "left")
     nodes = nodes.select(
         F.col("doc_id").alias("of"), "rep", "component", F.coalesce("count", F.lit(0)).cast("long").alias("class_links")
