@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.llm.shared import SPACES, without, written
 
-# Rounds of raking; each fits every margin once.
+# Rounds of raking at most; each fits every margin once.
 ROUNDS = 8
+# The margins fit when a round scales no cell by more than this.
+FITTED = 1e-13
 MARGINS = ("source", "lang", "topic")
 # A margin's default target: tokens to this power, scaled to one.  1 leaves the corpus as it
 # is, 0 makes all values equal.
@@ -72,23 +74,28 @@ def targets(cells: DataFrame, margin: str, wanted: Mapping[str, float] | None, t
 def rake(cells: DataFrame, shares: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Cells (source, lang, topic, tokens) with ``weight``: tokens fitted to the margins' shares of all tokens.
 
-    In turn, for every margin, weights are scaled so that the margin's sums fit.
-    There is one row per combination that occurs, and each step is a grouping of these rows, combined
-    before the shuffle, and a join; each round is written.
+    In turn, for every margin, weights are scaled so that the margin's sums fit, until they all do.
+    There is one row per combination that occurs; a sum is taken over the cells of one value, and each
+    round is written.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    shares = {margin: written(share, "mix-target") for margin, share in shares.items()}
+    total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for margin, share in shares.items():
+        fitted = fitted.join(share.withColumnRenamed("share", f"share_{margin}"), margin, "left")
     for _ in range(rounds):
-        for margin, share in shares.items():
-            sums = fitted.groupBy(margin).agg(F.sum("weight").alias("sum"))
-            scale = sums.join(share, margin, "left").select(
-                margin, F.when(F.col("sum") > 0, F.col("share") * F.lit(float(total)) / F.col("sum")).alias("scale")
-            )
-            scaled = fitted.join(scale, margin, "left")
-            fitted = scaled.withColumn("weight", F.col("weight") * F.coalesce("scale", F.lit(0.0))).drop("scale")
-        fitted = written(fitted.select(*MARGINS, "tokens", "weight"), "mix-round")
-    return fitted
+        moved = F.lit(0.0)
+        for margin in shares:
+            sums = F.sum("weight").over(Window.partitionBy(margin))
+            scale = F.coalesce(F.when(sums > 0, F.col(f"share_{margin}") * total / sums), F.lit(0.0))
+            fitted = fitted.withColumn("scale", scale).withColumn("weight", F.col("weight") * F.col("scale"))
+            moved = F.greatest(moved, F.when(F.col("weight") > 0, F.abs(F.col("scale") - 1)).otherwise(0.0))
+            fitted = fitted.withColumn("moved", moved)
+            moved = F.col("moved")
+        fitted = written(fitted.drop("scale"), "mix-round")
+        if (fitted.agg(F.max("moved")).first()[0] or 0.0) <= FITTED:
+            break
+        fitted = fitted.drop("moved")
+    return fitted.select(*MARGINS, "tokens", "weight")
 
 
 def calibrate(fitted: DataFrame, budget: float = BUDGET, rounds: int = CALIBRATION) -> DataFrame:
