@@ -24,86 +24,130 @@ LEAST_SCORE = 0.5
 MIX_BUDGET = 0.9
 
 
-# Column of the key by which stages tell documents apart.
-KEY = "document_key"
+def _fresh(docs: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of ``docs`` has."""
+    taken = {column.lower() for column in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{name}`") for name in docs.columns]
 
 
 def _digest(text: str = "text") -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
-def _ambiguous(docs: DataFrame) -> DataFrame | None:
-    """Ids that stand for several texts, written; None if there are none."""
+def _ambiguous(docs: DataFrame, name: str) -> DataFrame | None:
+    """Ids that stand for several texts, in a column of this name, written; None if there are none."""
     texts = F.xxhash64(F.coalesce("text", F.lit("")))
-    ids = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("ambiguous_id"))
-    several = ids.agg(F.min(texts).alias("low"), F.max(texts).alias("high")).filter("low != high")
-    several = written(several.select("ambiguous_id"), "pipeline-ambiguous")
+    ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), texts.alias("hash"))
+    several = ids.groupBy("of").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter("low != high")
+    several = written(several.select(F.col("of").alias(name)), "pipeline-ambiguous")
     return None if several.isEmpty() else several
 
 
-def _keyed(rows: DataFrame, ambiguous: DataFrame | None, digest: Column) -> DataFrame:
-    """Rows with a key of their id and text: the id where it tells, else a hash of both from 2^62 up."""
-    doc_id = F.col("doc_id").cast("long")
-    hashed = F.xxhash64(digest, doc_id).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    if ambiguous is None:
-        return rows.withColumn(KEY, F.when(doc_id.isNull(), hashed).otherwise(doc_id))
-    joined = rows.join(ambiguous, rows.doc_id == ambiguous.ambiguous_id, "left")
-    unclear = doc_id.isNull() | F.col("ambiguous_id").isNotNull()
-    return joined.withColumn(KEY, F.when(unclear, hashed).otherwise(doc_id)).drop("ambiguous_id")
+class Keys:
+    """Keys by which a stage tells documents apart, in columns of their own whatever the table's are called.
+
+    A key is the id where that tells, else a hash of id and text from 2^62 up.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+        self.key, self.gone, self.several = (_fresh(docs, f"pipeline_{name}") for name in ("key", "gone", "several"))
+        self.ambiguous = _ambiguous(docs, self.several)
 
+    def add(self, rows: DataFrame, digest: Column) -> DataFrame:
+        """Rows with doc_id and their key."""
+        doc_id = F.col("doc_id").cast("long")
+        hashed = F.xxhash64(digest, doc_id).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        if self.ambiguous is None:
+            return rows.withColumn(self.key, F.when(doc_id.isNull(), hashed).otherwise(doc_id))
+        joined = rows.join(self.ambiguous, F.col("doc_id") == F.col(self.several), "left")
+        unclear = doc_id.isNull() | F.col(self.several).isNotNull()
+        return joined.withColumn(self.key, F.when(unclear, hashed).otherwise(doc_id)).drop(self.several)
 
-def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows but those whose key is in ``gone``, which are fewer: few are broadcast by their size, many shuffle."""
-    return keyed.join(gone.select(F.col(KEY).alias("gone_key")), F.col(KEY) == F.col("gone_key"), "left_anti")
+    def documents(self) -> DataFrame:
+        return self.add(self.docs, _digest())
 
+    def without(self, keyed: DataFrame, gone: DataFrame) -> DataFrame:
+        """Documents but those whose key is in ``gone``, which are fewer: few are broadcast by their size, many shuffle."""
+        gone = gone.select(F.col(self.key).alias(self.gone))
+        return keyed.join(gone, F.col(self.key) == F.col(self.gone), "left_anti").select(_columns(self.docs))
 
-def _only(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents but those whose key has no verdict that holds; the keys that go are written and joined."""
-    gone = verdicts.groupBy(F.col("doc_id").alias(KEY)).agg(F.max("kept").alias("kept")).filter("NOT kept")
-    return _without(keyed, written(gone.select(KEY), "pipeline-gone")).drop(KEY)
+    def only(self, keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
+        """Documents but those whose key has no verdict (doc_id: the key, kept) that holds; the keys that go are written and joined."""
+        gone = verdicts.groupBy(F.col("doc_id").alias(self.key)).agg(F.max("kept").alias("kept")).filter("NOT kept")
+        return self.without(keyed, written(gone.select(self.key), "pipeline-gone"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language: told with LEAST_SCORE, in words that are usual in it."""
-    keyed = _keyed(docs, _ambiguous(docs), _digest())
-    return _only(keyed, known_language(keyed, KEY, least=LEAST_SCORE).withColumn("kept", F.col("known")))
+    """Documents of a known language: told with LEAST_SCORE, in words that are usual in it.
+
+    Cases: texts that are null, empty or without a letter go; a null lang is not learnt from; null ids and ids of several
+    texts are judged text by text; repeated rows stay or go together; an empty table stays empty; other columns, whatever their names, stay.
+    """
+    keys = Keys(docs)
+    keyed = keys.documents()
+    verdicts = known_language(keyed, keys.key, least=LEAST_SCORE)
+    return keys.only(keyed, verdicts.withColumn("kept", F.col("known")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, the one that ``exact_dedup`` keeps; of rows with the same id and text one remains."""
-    ambiguous = _ambiguous(docs)
+    """One row of each text, the one that ``exact_dedup`` keeps; of rows with the same id and text one remains.
+
+    Cases: a null text equals an empty one; a null id stays only where no row of its text has one; an
+    empty table stays empty; other columns, whatever their names, stay, and of rows with the same id and text the greatest row remains.
+    """
+    keys = Keys(docs)
     copies = exact_dedup(docs).filter("group_size > 1")
-    found = _keyed(copies, ambiguous, F.col("text_sha256")).groupBy(KEY)
+    found = keys.add(copies, F.col("text_sha256")).groupBy(keys.key)
     found = found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1")
     found = written(found, "pipeline-copies")
-    keyed = _keyed(docs, ambiguous, _digest())
-    single = _without(keyed, found).select(docs.columns)
-    repeated = found.filter("kept").select(F.col(KEY).alias("repeated_key"))
+    keyed = keys.documents()
+    single = keys.without(keyed, found)
+    repeated = found.filter("kept").select(F.col(keys.key).alias(keys.gone))
     if repeated.isEmpty():
         return single
-    rows = keyed.join(repeated, F.col(KEY) == F.col("repeated_key"), "left_semi")
+    rows = keyed.join(repeated, F.col(keys.key) == F.col(keys.gone), "left_semi")
     # Reduced on the map side first, so a row that is repeated very often is no hot key.
-    one = rows.groupBy(KEY).agg(F.max(F.struct(*docs.columns)).alias("row")).select("row.*")
+    one = rows.groupBy(keys.key).agg(F.max(F.struct(*_columns(docs))).alias(keys.several)).select(f"{keys.several}.*")
     return single.unionByName(one)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    ambiguous = _ambiguous(docs)
-    keyed = _keyed(docs, ambiguous, _digest())
-    if ambiguous is not None:
+    """One document of each group of near-duplicates.
+
+    Cases: texts without words are near nothing; null ids and ids of several texts are documents each; repeated rows stay or
+    go together; an empty table stays empty; other columns, whatever their names, stay.
+    """
+    keys = Keys(docs)
+    keyed = keys.documents()
+    if keys.ambiguous is not None:
         keyed = written(keyed, "pipeline-keyed")  # read in several steps
-    return _only(keyed, near_dedup(keyed, KEY))
+    return keys.only(keyed, near_dedup(keyed, keys.key))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which sources, languages and topics have their target weights."""
-    keyed = _keyed(docs, _ambiguous(docs), _digest())
-    return _only(keyed, mix(keyed, id_col=KEY, budget=MIX_BUDGET))
+    """A sample in which sources, languages and topics have their target weights.
+
+    Cases: null labels are a value of their own; documents without words are not drawn; null ids and ids of several texts are
+    drawn text by text, repeated rows together; an empty table stays empty; other columns, whatever their names, stay.
+    """
+    keys = Keys(docs)
+    keyed = keys.documents()
+    return keys.only(keyed, mix(keyed, id_col=keys.key, budget=MIX_BUDGET))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows, with the checksum of their ids."""
+    """Pieces of documents in windows, with the checksum of their ids.
+
+    Cases: a null or empty text is its end token; a null id stays null; rows that share an id, or are repeated, are packed each; an
+    empty table gives no rows; other columns are not read.
+    """
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
