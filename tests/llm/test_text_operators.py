@@ -334,6 +334,25 @@ def test_link_lists_outside_the_article_go():
     assert set(long) <= set(found) and len(found) < 20
 
 
+PROSE_LINE = "A sentence of the article that goes on for a while, with a comma and no link at all in it. " * 3
+
+
+@pytest.mark.parametrize("tag", ["div", "ul"])
+def test_unmarked_menus_go_by_their_cluster(tag):
+    item = "li" if tag == "ul" else "div"
+    menu = f"<{tag}>" + "".join(f"<{item}><a href=x>Entry {i}</a></{item}>" for i in range(8)) + f"</{tag}>"
+    body = "".join(f"<div>{PROSE_LINE}{i}</div>" for i in range(12))
+    lead = "<div>A short lead.</div>"
+    text = main_text.page_text(f"<body>{menu}<div>{lead}{body}</div>{menu}</body>")
+    assert text == "\n".join(["A short lead.", *(f"{PROSE_LINE}{i}" for i in range(12))])
+
+
+@pytest.mark.parametrize("page", ["<article><h1>Title</h1><p>{0}</p>{1}</article>", "<div><h1>Title</h1><p>{0}</p>{1}</div>"])
+def test_a_comment_longer_than_the_article_goes(page):
+    section = f"<section class=comments><p>{PROSE_LINE * 30}</p></section>"
+    assert main_text.page_text(page.format(PROSE_LINE, section)) == f"Title\n{PROSE_LINE.strip()}"
+
+
 def test_unknown_sections_are_comments():
     html = "<p>a<![foo[x]]>b</p><p>c<![if !IE]>d<![endif]></p><p>e<![CDATA[z]]>f</p><p>g<![>h</p>"
     assert main_text.page_text(html) == "ab\ncd\nef\ngh"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ AROUND_WORDS = frozenset(
     "promo promotion related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget".split()
 )
+# Those of them that name what readers wrote.
+COMMENT_WORDS = frozenset("comment comments disqus replies reply".split())
 # Elements whose open paragraph, item or cell ends where another one begins.
 CLOSED_BY = {
     "li": frozenset(["li"]),
@@ -86,6 +89,15 @@ class Node:
             mark = mark.parent and mark.parent.around
 
 
+class Line(NamedTuple):
+    """A line of text: its tags, the innermost element that it ends in, and whether all of it is links."""
+
+    text: str
+    tags: int
+    node: Node
+    linked: bool
+
+
 class LineParser(HTMLParser):
     """Collects lines of text (a new one at each block element) with the number of tags in each."""
 
@@ -93,16 +105,17 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.node = Node("", None, False, None)
         self.open: dict[str, list[Node]] = {}  # open elements by tag, the innermost one last
-        self.lines: list[tuple[str, int, Node]] = []  # text, tags, where it stands
+        self.lines: list[Line] = []
         self._parts: list[str] = []
         self._tags = 0
+        self._linked = True
 
     def _line(self) -> None:
         text = _SPACE.sub(" ", "".join(self._parts)).strip()
         if text:
-            self.lines.append((text, self._tags, self.node))
+            self.lines.append(Line(text, self._tags, self.node, self._linked))
         if text or self._tags:
-            self._parts, self._tags = [], 0
+            self._parts, self._tags, self._linked = [], 0, True
 
     def _enter(self, node: Node) -> None:
         self.node = node
@@ -207,8 +220,10 @@ class LineParser(HTMLParser):
             self._end_head()
         if not self.node.hidden:
             self._parts.append(data)
+            # Marks between links are part of a list of links.
+            self._linked = self._linked and (bool(self.open.get("a")) or not any(map(str.isalnum, data)))
 
-    def finish(self) -> list[tuple[str, int, Node]]:
+    def finish(self) -> list[Line]:
         self.close()
         self._line()
         return self.lines
@@ -236,32 +251,41 @@ def clusters(values: np.ndarray) -> np.ndarray:
     return values >= threshold
 
 
-def ratios(lines: list[tuple[str, int, Node]]) -> np.ndarray:
-    return np.array([len(text) / max(1, tags) for text, tags, _ in lines])
+def ratios(lines: list[Line]) -> np.ndarray:
+    return np.array([len(line.text) / max(1, line.tags) for line in lines])
+
+
+def comments(kind: str) -> bool:
+    """Whether a kind of surroundings names what readers wrote."""
+    return not COMMENT_WORDS.isdisjoint(kind.split())
 
 
-def beside_surroundings(lines: list[tuple[str, int, Node]]) -> list[tuple[str, int, Node]]:
+def beside_surroundings(lines: list[Line]) -> list[Line]:
     """Lines but those of surroundings.
 
     A navigation, footer or the like that is closed is left out.  What its class or a form marks is so too, unless
     elements of that kind hold more text of the upper ratio cluster than stands outside all marks: then they wrap the
     content.  That is not asked where another article or main element is unmarked, unless one of these or an h1
-    is within.  An element that nothing closes marks only what comes before its first content (or all of it beside
+    is within, nor of readers' comments beside an unmarked article, main element, or h1 with running text.  An element that nothing closes marks only what comes before its first content (or all of it beside
     an unmarked article).
     """
-    if all(node.around is None for _, _, node in lines):
+    if all(line.node.around is None for line in lines):
         return lines
     values = ratios(lines)
     upper = clusters(smoothed(values))
     sharp = clusters(values)
-    weights = [len(text) if content else 0 for (text, _, _), content in zip(lines, upper)]
-    elsewhere = {node.region for _, _, node in lines if node.region and node.around is None}
+    weights = [len(line.text) if content else 0 for line, content in zip(lines, upper)]
+    outside = [line.node for line in lines if line.node.around is None]
+    elsewhere = {node.region for node in outside if node.region}
+    prose = {node.prose for node in outside}
+    # An article without its comments.
+    told = bool(elsewhere) or ("h1" in prose and not prose.isdisjoint(("p", "blockquote", "pre")))
     ended: set[int] = set()
     regions: dict[str, set] = {}  # of the elements of each kind
     wraps: set[str] = set()  # kinds with an h1 or an unmarked article within
     kinds: list[list[str]] = []  # of each line, from the outermost one
-    for (_, _, node), content, clear in zip(lines, upper, sharp):
-        own = []
+    for line, content, clear in zip(lines, upper, sharp):
+        own, node = [], line.node
         titled = node.prose == "h1"
         for mark in node.marks():
             within = node.region is not None and node.region is not mark.region and node.region.mark is None
@@ -288,29 +312,36 @@ def beside_surroundings(lines: list[tuple[str, int, Node]]) -> list[tuple[str, i
                 for kind in held:
                     votes[kind] = votes.get(kind, 0) + weight
         wrapping = [
-            kind for kind, weight in votes.items() if weight > beside and (kind in wraps or elsewhere <= regions[kind])
+            kind
+            for kind, weight in votes.items()
+            if weight > beside and (kind in wraps or (elsewhere <= regions[kind] and not (told and comments(kind))))
         ]
         if not wrapping:
             return [line for line, own in zip(lines, kinds) if released.issuperset(own)]
         released.add(max(wrapping, key=votes.get))
 
 
-def main_lines(lines: list[tuple[str, int, Node]]) -> list[str]:
+def main_lines(lines: list[Line]) -> list[str]:
     """The lines of the content region.
 
     Lines outside surroundings whose smoothed text-to-tag ratio is in the
     upper cluster vote, by their length, for the article or main elements that they stand in.
     If these have nearly all votes, lines beyond them go that are neither in the
-    upper cluster nor running text; otherwise all lines are the region.
+    upper cluster nor running text; otherwise lines of the lower cluster go that are nothing but links, as in menus.
     """
     lines = beside_surroundings(lines)
     if not lines:
         return []
     content = clusters(smoothed(ratios(lines)))
-    total = sum(len(text) for (text, _, _), upper in zip(lines, content) if upper)
-    inside = sum(len(text) for (text, _, node), upper in zip(lines, content) if upper and node.region)
+    total = sum(len(line.text) for line, upper in zip(lines, content) if upper)
+    inside = sum(len(line.text) for line, upper in zip(lines, content) if upper and line.node.region)
     whole = inside < SHARE * total
-    return [text for (text, _, node), upper in zip(lines, content) if whole or upper or node.region or node.prose]
+    kept = []
+    for line, upper in zip(lines, content):
+        region = not line.linked if whole else line.node.region
+        if upper or region or line.node.prose:
+            kept.append(line.text)
+    return kept
 
 
 def page_text(html: str) -> str:
