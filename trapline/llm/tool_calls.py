@@ -161,7 +161,8 @@ def calls_of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations (conv_id, turn, role, text) read as calls and results.
 
     What a user says is a call of the tool ``reply``, which waits for the call two turns
-    earlier; what an assistant says is the result of the call one turn earlier.
+    earlier; what an assistant says is the result of the call one turn earlier.  Turns of any other role, and turns without
+    conversation or number, are neither and give no row.
     """
     said = turns.withColumn("text", F.coalesce("text", F.lit("")))
 
