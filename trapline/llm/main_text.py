@@ -266,8 +266,9 @@ def beside_surroundings(lines: list[Line]) -> list[Line]:
     A navigation, footer or the like that is closed is left out.  What its class or a form marks is so too, unless
     elements of that kind hold more text of the upper ratio cluster than stands outside all marks: then they wrap the
     content.  That is not asked where another article or main element is unmarked, unless one of these or an h1
-    is within, nor of readers' comments beside an unmarked article, main element, or h1 with running text.  An element that nothing closes marks only what comes before its first content (or all of it beside
-    an unmarked article).
+    is within, nor of readers' comments beside an unmarked article, main element, or h1 with running text.  An
+    element that nothing closes marks only what comes before its first content (or all of it beside an unmarked
+    article).
     """
     if all(line.node.around is None for line in lines):
         return lines
