@@ -63,13 +63,13 @@ def attempts_after(attempts: DataFrame, last: tuple[datetime | str, int], limit:
     return newest_first(filter_attempts(attempts, **filters).filter(older)).limit(limit)
 
 
-def page_info(attempts: DataFrame, page: int = 1, limit: int = 50, **filters) -> DataFrame:
-    """One row: matching attempts, page number, number of pages (at least one)."""
+def page_info(attempts: DataFrame, page: int = 1, limit: int = 50, weight: str | None = None, **filters) -> DataFrame:
+    """One row: matching attempts, page number, number of pages (at least one); a row stands for ``weight`` attempts, if given."""
     check_limit(limit, 200)
     pages = F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("bigint")
     return (
         filter_attempts(attempts, **filters)
-        .agg(F.count("*").alias("total"))
+        .agg((F.coalesce(F.sum(weight), F.lit(0)) if weight else F.count("*")).alias("total"))
         .select("total", F.lit(page).cast("bigint").alias("page"), pages.alias("pages"))
     )
 

@@ -34,7 +34,7 @@ from trapline.operators import (
     timeline,
 )
 from trapline.plans import pages, streams
-from trapline.sources import loglines, telemetry
+from trapline.sources import counted, loglines, telemetry
 from trapline.sources.telemetry import AS_OF
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,19 +376,19 @@ def geo_pins_resolved(spark, folder):
 
 @query
 def attempts_page(spark, folder):
-    return listing.attempts_page(_attempts(spark, folder), PAGE, PAGE_SIZE)
+    return counted.stored_page(spark, telemetry.attempts_store(spark, folder), PAGE, PAGE_SIZE)
 
 
 @query
 def attempts_filtered(spark, folder):
-    return listing.attempts_page(
-        _attempts(spark, folder), 1, 200, country=COUNTRIES, intent=INTENTS, event_id=EVENTS
-    )
+    store = telemetry.attempts_store(spark, folder)
+    return counted.stored_page(spark, store, 1, 200, country=COUNTRIES, intent=INTENTS, event_id=EVENTS)
 
 
 @query
 def attempts_page_info(spark, folder):
-    return listing.page_info(_attempts(spark, folder), PAGE, PAGE_SIZE, country=COUNTRIES, intent=INTENTS)
+    store = telemetry.attempts_store(spark, folder)
+    return counted.stored_page_info(spark, store, PAGE, PAGE_SIZE, country=COUNTRIES, intent=INTENTS)
 
 
 @query
@@ -398,7 +398,7 @@ def attempts_of_ip(spark, folder):
 
 @query
 def recent_attempts(spark, folder):
-    return listing.recent_attempts(_attempts(spark, folder))
+    return counted.stored_page(spark, telemetry.attempts_store(spark, folder))
 
 
 @query
@@ -408,7 +408,7 @@ def attempt_by_id(spark, folder):
 
 @query
 def files_accessed(spark, folder):
-    return listing.files_accessed(_attempts(spark, folder))
+    return counted.stored_transfers(spark, telemetry.attempts_store(spark, folder))
 
 
 @query

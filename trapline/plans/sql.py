@@ -16,6 +16,7 @@ from trapline.plans.queries import (
     PAGE,
     PAGE_SIZE,
 )
+from trapline.plans.streams import DEEP_EVENTS, DEEP_PAGE, DEEP_SIZE
 from trapline.sources import telemetry
 
 CLOCK = f"TIMESTAMP '{telemetry.AS_OF}'"
@@ -374,6 +375,10 @@ SELECT count(*) AS total, CAST({PAGE} AS BIGINT) AS page,
  greatest(1, (count(*) + {PAGE_SIZE - 1}) // {PAGE_SIZE}) AS pages
 FROM attempts WHERE country_code IN ({_list(COUNTRIES)}) AND intent IN ({_list(INTENTS)})""",
     "attempts_of_ip": f"SELECT * FROM attempts WHERE src_ip = '{ONE_IP}'",
+    "stored_pages": f"""
+SELECT * EXCLUDE (place), CAST(CASE WHEN place <= {DEEP_SIZE} THEN 1 ELSE {DEEP_PAGE} END AS INTEGER) AS page
+FROM (SELECT *, row_number() OVER ({_NEWEST}) AS place FROM attempts WHERE event_id IN ({_list(DEEP_EVENTS)}))
+WHERE place <= {DEEP_SIZE} OR (place > {(DEEP_PAGE - 1) * DEEP_SIZE} AND place <= {DEEP_PAGE * DEEP_SIZE})""",
     "recent_attempts": f"SELECT * FROM attempts {_NEWEST} LIMIT 50",
     "attempt_by_id": f"SELECT * FROM attempts WHERE id = {ONE_ID}",
     "files_accessed": f"""

@@ -18,7 +18,7 @@ from trapline.operators.geo import enrich_geo
 from trapline.operators.ingest import build_attempts, captured_files, normalise
 from trapline.operators.sessions import locate_sessions
 from trapline.settings import work_folder
-from trapline.sources import tables, telemetry, versions
+from trapline.sources import counted, tables, telemetry, versions
 from trapline.sources.loglines import parse_lines, read_log, read_log_stream
 from trapline.sources.tail import open_folder, tail_log
 from trapline.sources.telemetry import AS_OF
@@ -31,6 +31,10 @@ FILE_LINES = 1_000_000
 FILE_SECONDS = 10
 LATE_SECONDS = 30 * 86_400
 
+# A page far from the newest attempts, of some kinds of events.
+DEEP_PAGE, DEEP_SIZE = 20, 25
+DEEP_EVENTS = ["cowrie.login.failed", "cowrie.command.input"]
+
 QUERIES = {}
 
 
@@ -215,6 +219,20 @@ def store_mixed(spark, folder):
     return ways[0].unionByName(ways[1])
 
 
+@query
+def stored_pages(spark, folder):
+    """The newest and a deep page of a store of three arrivals, of which one, a plain append, was not counted."""
+    target, attempts = work_folder(spark, "store"), telemetry.attempts(spark, folder)
+    for remainder in (0, 1):
+        counted.append_counted(attempts.filter(F.col("id") % 3 == remainder), target, gather=True)
+    tables.append_table(attempts.filter(F.col("id") % 3 == 2), target, "attempts", gather=True)
+    pages = [
+        counted.stored_page(spark, target, page, DEEP_SIZE, event_id=DEEP_EVENTS).withColumn("page", F.lit(page))
+        for page in (1, DEEP_PAGE)
+    ]
+    return pages[0].unionByName(pages[1])
+
+
 @query
 def stream_late_file(spark, folder):
     """Half of the log is shipped a month late, after a first run over the other half."""

@@ -17,6 +17,7 @@ from trapline.operators.sessions import build_sessions
 from trapline.operators.visitors import build_page_views
 from trapline.schemas import DATE_COLUMN
 from trapline.settings import work_folder
+from trapline.sources.counted import append_counted
 from trapline.sources.tables import append_table, load_table
 
 # The fixed clock of all test queries.
@@ -156,7 +157,11 @@ def stored(
     key = (spark.sparkContext.applicationId, folder, name, keep_private)
     if key not in _stores:
         target = work_folder(spark, "store")
-        append_table(build_table(spark, folder, name, keep_private), target, name, gather=True)
+        rows = build_table(spark, folder, name, keep_private)
+        if name == "attempts":
+            append_counted(rows, target, gather=True)
+        else:
+            append_table(rows, target, name, gather=True)
         _stores[key] = target
     table = load_table(spark, _stores[key], name)
     return table if dated else table.drop(DATE_COLUMN)
@@ -166,6 +171,12 @@ def attempts(spark: SparkSession, folder: str, dated: bool = False) -> DataFrame
     return stored(spark, folder, "attempts", dated=dated)
 
 
+def attempts_store(spark: SparkSession, folder: str) -> str:
+    """The folder of the stored attempts, which are counted by date."""
+    attempts(spark, folder)
+    return _stores[(spark.sparkContext.applicationId, folder, "attempts", False)]
+
+
 def captured(spark: SparkSession, folder: str) -> DataFrame:
     return stored(spark, folder, "captured_files")
 
