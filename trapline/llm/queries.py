@@ -21,7 +21,7 @@ from trapline.llm.quality import quality
 from trapline.llm.secret_scan import digest, scan
 from trapline.llm.shared import table
 from trapline.llm.tokens import token_counts
-from trapline.llm.tool_calls import calls_of_conversations, link_calls
+from trapline.llm.tool_calls import calls_of_conversations, link_all, other_turns
 
 
 # What a call of the derived tool must look like.
@@ -40,7 +40,8 @@ SCHEMAS = {
 
 
 def op1_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
-    return link_calls(*calls_of_conversations(table(spark, folder, "conversations")), SCHEMAS)
+    turns = table(spark, folder, "conversations")
+    return link_all(*calls_of_conversations(turns), SCHEMAS, others=other_turns(turns))
 
 
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
