@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from trapline.plans import streams
 from trapline.sources import tail
 from trapline.streaming import counts, reputation
 
@@ -130,3 +131,19 @@ def test_pending_addresses_come_back(spark):
     assert rows(soon.select("src_ip", "tries", "due")) == [("a", 1, False), ("c", 1, True)]
     later = reputation.pending(soon, attempts(), scores(), "2024-01-31 00:01:00")
     assert rows(later.select("src_ip", "tries", "due")) == [("a", 2, True), ("c", 1, False)]
+
+
+@pytest.mark.parametrize("size", [0, 3, 4, 5, 103])
+def test_runs_are_those_of_ntile_without_a_task_for_all_lines(spark, size):
+    data = [(None if i % 50 == 7 else (i * 37) % 101 // 2, f"line {i * 7 % 103:03}") for i in range(size)]
+    lines = spark.createDataFrame(data, "seq long, line string").repartition(3)
+    found = streams._runs(spark, lines, 4, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Window" in step and "line" in step for step in plan)
+    expected, order = [], sorted(data, key=lambda row: (row[0] is not None, row[0] or 0, row[1]))
+    for part in range(4):
+        least, longer = divmod(size, 4)
+        share = least + (part < longer)
+        expected += [(*row, part + 1) for row in order[:share]]
+        order = order[share:]
+    assert rows(found) == sorted(expected, key=lambda r: tuple((v is None, str(v)) for v in r))

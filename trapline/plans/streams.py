@@ -63,6 +63,33 @@ def _ship(spark: SparkSession, target: str, seconds_ago: int) -> None:
         system.setTimes(file, start + 1000 * FILE_SECONDS * place, -1)
 
 
+# A line's place is the number of its range times this, and its row in the range.
+_RANGE = 1 << 33
+
+
+def _runs(spark: SparkSession, lines: DataFrame, runs: int, files: int) -> DataFrame:
+    """Lines with ``part``, from 1: runs of log order, as even as ``ntile`` makes them.
+
+    The lines are sorted by ranges, written, and numbered by the running sum of the ranges' sizes, one row per
+    range; so no task sees more than a range.
+    """
+    target = work_folder(spark, "ordered")
+    ordered = lines.repartitionByRange(files, "seq", "line").sortWithinPartitions("seq", "line")
+    ordered = ordered.withColumn("place", F.monotonically_increasing_id())
+    ordered.write.parquet(target)
+    ordered = spark.read.schema(ordered.schema).parquet(target).withColumn("range", F.expr(f"place div {_RANGE}"))
+    sizes = ordered.groupBy(F.col("range").alias("of")).agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1))
+    least = F.floor(F.sum("size").over(Window.partitionBy()) / runs).alias("least")
+    # The first runs have a line more than the others.
+    longer = (F.sum("size").over(Window.partitionBy()) % runs).alias("longer")
+    starts = F.broadcast(sizes.select("of", F.coalesce(before, F.lit(0)).alias("before"), least, longer))
+    numbered = ordered.join(starts, F.col("range") == F.col("of")).withColumn("number", F.expr(f"before + place % {_RANGE}"))
+    rest = "longer + (number - longer * (least + 1)) div greatest(least, 1)"
+    part = F.expr(f"1 + CASE WHEN number < longer * (least + 1) THEN number div (least + 1) ELSE {rest} END")
+    return numbered.select("seq", "line", part.cast("int").alias("part"))
+
+
 def write_log(spark: SparkSession, folder: str) -> str:
     """The derived log as a folder of JSON-lines files, each a run of log order and older than the next."""
     target = work_folder(spark, "log")
@@ -465,7 +492,8 @@ def stream_unscored_retry(spark, folder):
     """Addresses without an answer after four batches, 45 seconds apart: they are due again after a minute though they do not attack again."""
     target = work_folder(spark, "pending")
     log = work_folder(spark, "log")
-    lines = telemetry.log_lines(spark, folder).withColumn("part", F.ntile(BATCHES).over(Window.orderBy("seq")))
+    lines = telemetry.log_lines(spark, folder)
+    lines = _runs(spark, lines, BATCHES, BATCHES * _files_per_batch(lines))
     start = datetime.fromisoformat(AS_OF)
     for part in range(1, BATCHES + 1):
         _write_files(lines.filter(F.col("part") == part), _files_per_batch(lines), log)
