@@ -444,7 +444,8 @@ def _append(spark: SparkSession, lines: DataFrame, log: str) -> None:
 
 def _cut_log(spark: SparkSession, folder: str, log: str, store) -> None:
     """One file that is missing, grows, is rotated and grows, and is truncated and written anew; ``store`` runs after each step."""
-    lines = telemetry.log_lines(spark, folder).withColumn("part", F.ntile(5).over(Window.orderBy("seq")))
+    lines = telemetry.log_lines(spark, folder)
+    lines = _runs(spark, lines, 5, BATCHES * _files_per_batch(lines))
     system, inner = open_folder(log)
     store()
     for part in range(1, 6):
