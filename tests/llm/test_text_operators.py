@@ -452,3 +452,20 @@ def test_index_points_to_all_documents(spark):
     hits = secret_scan.candidates(index, {"t": [frozenset(["tok", "oke", "ken"])]})
     assert {r.doc_id for r in hits.collect()} == {1, 4}
     assert hits.select(F.explode("kinds")).distinct().count() == 1
+
+
+def test_remembered_parts_are_looked_up_not_gone_through():
+    class Remembered(dict):
+        def __iter__(self):
+            raise AssertionError("every remembered part was looked at")
+
+    tokenizer = WordTokenizer(WORDS)
+    expected = tokenizer.encode(["the end, and more"])[0].tolist()
+    tokenizer._older, tokenizer._recent = Remembered(tokenizer._recent), {}
+    assert tokenizer.encode(["the end, and more"])[0].tolist() == expected
+
+
+@pytest.mark.parametrize("text", ["a,b, c.' d!!\x0b'e. f-", "x.y.. z\n.q é, é!a,", ",,", "a'. b.'", "a,"])
+def test_parts_end_before_trailing_punctuation(text):
+    plain = re.sub(r"(?<=[a-z])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)(?=[\x20\x09-\x0D]|\Z)", r" \1", text).encode().split()
+    assert WordTokenizer(WORDS)._parts(text.encode()) == plain

@@ -11,7 +11,8 @@ import numpy as np
 # Words that a Python worker remembers, about 200 bytes each, twice over while a new set fills.
 CACHED_WORDS = 250_000
 # ASCII punctuation after an ASCII letter, up to white space; not from an apostrophe on, which may belong to the letters.
-_TRAILING = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)(?=[\x20\x09-\x0D]|\Z)")
+# The class stands first, so that the search skips what is not in it.
+_TRAILING = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-/:-@\[-`{-~]*(?=[\x20\x09-\x0D]|\Z)")
 
 
 class WordTokenizer:
@@ -59,14 +60,15 @@ class WordTokenizer:
         # On bytes, split() knows exactly the ASCII white space and lower() the ASCII letters.
         if any(begin in text for begin in self._special):
             return text.split()
-        return _TRAILING.sub(rb" \1", text.lower()).split()
+        return _TRAILING.sub(rb" \g<0>", text.lower()).split()
 
     def _learn(self, parts: set[bytes]) -> None:
         recent, older = self._recent, self._older
-        for part in parts.intersection(older):
-            recent[part] = older[part]
+        # Not parts.intersection(older), which goes through all of a dictionary.
+        again = [part for part in parts if part in older]
+        recent.update(zip(again, map(older.__getitem__, again)))
         plain, letters, others = [], [], []
-        for part in parts.difference(older):
+        for part in parts.difference(again):
             if part.isalpha() and part.islower():
                 plain.append(part)
             else:
