@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -179,3 +180,15 @@ def test_held_out_text_is_less_likely(spark):
     found = lm.score_corpus(docs).groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("mean"))
     means = {row.held_out: row.mean for row in found.collect()}
     assert means[False] > means[True]
+
+
+def test_a_counter_holds_little():
+    draw, found, total = np.random.default_rng(5), lm.Counter(), 0
+    tracemalloc.start()
+    for _ in range(60):
+        total += sum(int(counts.sum()) for _, counts in found.add(draw.integers(0, 1 << 63, 50_000, np.uint64)))
+    total += sum(int(counts.sum()) for _, counts in found.rest())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 3_000_000
+    assert peak < 80 << 20

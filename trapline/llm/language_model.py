@@ -21,8 +21,8 @@ from trapline.settings import work_folder
 SHARD_WORDS = 1 << 18
 SHARD_BIGRAMS = 1 << 21
 # A task hands its counts on when it has so many different keys.
-HELD = 1 << 20
-# Characters that are looked up together.
+HELD = 1 << 19
+# Characters that are looked up together, when texts are scored.
 LOOKUP_CHARS = 1 << 20
 # The end of a text is a token; its hash is that of no word but by accident.
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -31,7 +31,6 @@ FALLBACK = (0.5, 1.0, 1.5)
 BASE_PRIOR = 0.1
 
 _SIGN = np.uint64(1 << 63)
-_LOW = np.uint64((1 << 32) - 1)
 
 
 def local_path(folder: str) -> str:
@@ -286,7 +285,7 @@ def _count_words(texts: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
-        for (found,) in slices(batches, 0, LOOKUP_CHARS):
+        for (found,) in slices(batches, 0):
             for keys, counts in counter.add(tokens(found)[0]):
                 yield rows(keys, counts)
         for keys, counts in counter.rest():
@@ -342,7 +341,7 @@ def _count_bigrams(texts: DataFrame, words: Shards, shards: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [_mapped(name, "hash") for name in words.names]
         counter = Counter()
-        for (found,) in slices(batches, 0, LOOKUP_CHARS):
+        for (found,) in slices(batches, 0):
             hashes, ends = tokens(found)
             distinct, back = np.unique(hashes, return_inverse=True)
             right = words.places(ordered(distinct), arrays)[back]
@@ -366,13 +365,18 @@ def _bigram_arrays(counted: DataFrame, words: Shards, shards: int, folder: str)
     def reduced(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         key, count = merged(keys, counts)
         name = _saved(folder, hash=key, count=_narrow(count))
+        # Both sides one after the other, and in 32 bits, as a worker holds few arrays of this size.
         pair = gathered(key)
-        left, right = pair >> np.uint64(32), pair & _LOW
-        rare = np.minimum(count, 3)
-        ids, back = np.unique(np.concatenate([left, right]), return_inverse=True)
-        at, to = back[: len(key)], back[len(key) :]
-        columns = [np.bincount(at[rare == i], minlength=len(ids)) for i in (1, 2, 3)]
-        sums = np.stack([*columns, np.bincount(to, minlength=len(ids))], axis=1)
+        left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
+        del pair
+        ids = np.union1d(left, right)
+        sums = np.zeros((len(ids), 4), np.int64)
+        at = np.searchsorted(ids, left)
+        for i in (1, 2, 3):
+            sums[:, i - 1] = np.bincount(at[count >= 3 if i == 3 else count == i], minlength=len(ids))
+        at = np.searchsorted(ids, right)
+        sums[:, 3] = np.bincount(at, minlength=len(ids))
+        ids = ids.astype(np.uint64)
         cuts = np.append(np.searchsorted(ids, bounds), len(ids))
         few = [int((count == i).sum()) for i in (1, 2, 3, 4)]
         rows = [(int(key[0].view(np.int64)), len(key), name, *few, None, None, None)]
