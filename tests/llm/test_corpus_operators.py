@@ -391,3 +391,15 @@ def test_stages_keep_columns_of_any_name_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), None).collect() == []
     assert corpus_pipeline.STAGES[-1][1](spark, docs, None).count() == len(rows)
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), None).collect() == []
+
+
+def test_buckets_of_the_same_members_are_one(spark):
+    # Three sets meet in five buckets, two of them in another one, and one is alone.
+    data = [(key, rep, 9, key + rep) for key in range(5) for rep in (1, 2, 3)]
+    data += [(7, 1, 9, 1), (7, 2, 9, 2), (8, 3, 9, 0)]
+    found = near_dedup._shared(spark.createDataFrame(data, "key long, rep long, n long, place int")).collect()
+    buckets = {}
+    for row in found:
+        buckets.setdefault(row.key, {})[row.rep] = (row.place, row.members, row.least, row.label)
+    assert sorted(map(sorted, buckets.values())) == [[1, 2], [1, 2, 3]]
+    assert {1: (1, 3, 9, 1), 2: (2, 3, 9, 2), 3: (3, 3, 9, 3)} in buckets.values()

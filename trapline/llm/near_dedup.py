@@ -235,10 +235,17 @@ _MEMBER = ("rep", "n", "place", "label")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with two sets or more: key, rep, n, place, members, least (the smallest size), label (itself), degree."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"))
-    shared = rows.join(sizes.filter("members > 1"), "key")
-    return shared.select("*", F.col("rep").alias("label"), F.lit(0).cast("long").alias("degree"))
+    """Rows of buckets with two sets or more: key, rep, n, place, members, least (the smallest size), label (itself), degree.
+
+    Buckets of the same members are one, with the first place of each: similar sets share many shingles and bands, and
+    would meet in all of them.  As the order of shingles is the same for all sets, the first places are those of one bucket.
+    """
+    whole = F.struct(*(F.bit_xor(F.xxhash64("rep", F.lit(i))) for i in range(2)))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), whole.alias("whole"))
+    shared = rows.join(sizes.filter("members > 1"), "key").groupBy("whole", "members", "rep")
+    shared = shared.agg(F.min("n").alias("n"), F.min("place").alias("place"), F.min("least").alias("least"))
+    key, label = F.xxhash64("whole", "members").alias("key"), F.col("rep").alias("label")
+    return shared.select(key, "rep", "n", "place", "members", "least", label, F.lit(0).cast("long").alias("degree"))
 
 
 def _proposals(rows: DataFrame, turn: int, hands: int, asked: int) -> DataFrame:
@@ -301,10 +308,11 @@ class Found:
 
     def test(self, pairs: DataFrame, sketches: DataFrame | None) -> None:
         """Test those of ``pairs`` that have not been tested before; with ``sketches``, those that pass the estimate."""
-        pairs = pairs.distinct()
+        # Repeated and tested pairs are told in one grouping.
         if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        new = written(pairs, "near-pairs")
+            both = pairs.withColumn("old", F.lit(False)).unionByName(self.tested.withColumn("old", F.lit(True)))
+            pairs = both.groupBy("a", "b").agg(F.max("old").alias("old")).filter("NOT old").drop("old")
+        new = written(pairs.distinct() if self.tested is None else pairs, "near-pairs")
         links = _confirmed(_estimated(new, sketches) if sketches else new, self.docs, self.words)
         self.tested = new if self.tested is None else self.tested.unionByName(new)
         self.links = links if self.links is None else self.links.unionByName(links)
