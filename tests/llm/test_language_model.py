@@ -192,3 +192,27 @@ def test_a_counter_holds_little():
     tracemalloc.stop()
     assert total == 3_000_000
     assert peak < 80 << 20
+
+
+def test_packed_counts_and_keys_take_the_bytes_that_they_need():
+    assert len(lm.packed_counts(np.array([[1, 2, 3, 200]] * 100))) == 401
+    assert len(lm.packed(np.arange(7, 1007, dtype=np.uint64))) < 1020
+    for n in (1, 2):
+        keys = np.array([1 << 63, (1 << 64) - 1][:n], np.uint64)
+        assert (lm.unpacked(lm.packed(keys)) == keys).all()
+
+
+def test_merging_pieces_holds_little():
+    draw = np.random.default_rng(7)
+    drawn = [np.unique(draw.integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2)) for _ in range(60)]
+    drawn += drawn[:30]
+    pieces = [lm.packed(key) for key in drawn], [lm.packed_counts(np.full(len(key), i + 1)) for i, key in enumerate(drawn)]
+    tracemalloc.start()
+    keys, counts = lm._pieces_merged(*pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.unique(np.concatenate(drawn))
+    assert pieces == ([], []) and (keys == want).all()
+    assert counts.sum() == sum(len(key) * (i + 1) for i, key in enumerate(drawn))
+    # 1.8 million keys and counts are 22 MB as they come; the result is as large again at most.
+    assert peak < 80 << 20

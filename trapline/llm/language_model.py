@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.shared import slices, written
+from trapline.llm.shared import give_back, slices, written
 from trapline.llm.words import gathered, spread, word_hashes
 from trapline.settings import work_folder
 
@@ -22,8 +22,10 @@ SHARD_WORDS = 1 << 18
 SHARD_BIGRAMS = 1 << 21
 # A task hands its counts on when it has so many different keys.
 HELD = 1 << 19
+# Bigrams of an array that are sorted, or whose words are looked up, together.
+STEP = 1 << 18
 # Characters that are looked up together, when texts are scored.
-LOOKUP_CHARS = 1 << 20
+LOOKUP_CHARS = 1 << 19
 # The end of a text is a token; its hash is that of no word but by accident.
 END = np.uint64(0x9E3779B97F4A7C15)
 # Discounts where counts of counts are too few to tell.
@@ -45,13 +47,15 @@ def local_path(folder: str) -> str:
 
 
 def merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their rows of values."""
+    """Sorted distinct keys and the sums of their values; the lists are emptied, as a worker holds few arrays of this size."""
     key, value = np.concatenate(keys), np.concatenate(values)
+    keys.clear()
+    values.clear()
     order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, value = key[order], value[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(value[order], first, axis=0) if len(key) else value
-    return key[first], sums
+    return key[first], np.add.reduceat(value, first, dtype=np.int64) if len(key) else value.astype(np.int64)
 
 
 class Counter:
@@ -63,7 +67,7 @@ class Counter:
     def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         found, counts = np.unique(keys, return_counts=True)
         self.keys.append(found)
-        self.counts.append(counts)
+        self.counts.append(_narrow(counts))
         self.held += len(found)
         if self.held > 2 * HELD:
             self._merge()
@@ -77,30 +81,41 @@ class Counter:
     def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.held:
             self._merge()
-            yield self.keys[0], self.counts[0]
-            self.keys, self.counts, self.held = [], [], 0
+            found = self.keys.pop(), self.counts.pop()
+            self.held = 0
+            yield found
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte of all, as many bytes as the greatest needs, and that number of bytes first."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    parts = values.view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(parts.T).tobytes()
+
+
+def _from_planes(data: bytes, start: int = 0) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=start + 1).reshape(data[start], -1)
+    values = np.zeros((planes.shape[1], 8), np.uint8)
+    values[:, : len(planes)] = planes.T
+    return values.view(np.uint64).ravel()
 
 
 def packed(sorted_keys: np.ndarray) -> bytes:
-    """Differences of sorted unsigned keys, byte by byte of all, which Spark's compression shortens."""
-    steps = np.diff(sorted_keys, prepend=np.zeros(1, np.uint64))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """The first of sorted unsigned keys, one or more, and the differences of the others."""
+    return sorted_keys[:1].tobytes() + _planes(np.diff(sorted_keys))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    first = np.frombuffer(data, np.uint64, 1)
+    return np.cumsum(np.concatenate([first, _from_planes(data, 8)]), dtype=np.uint64)
 
 
 def packed_counts(values: np.ndarray) -> bytes:
-    """Rows of counts, byte by byte of all."""
-    flat = np.ascontiguousarray(values, np.uint64).reshape(-1)
-    return np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return _planes(np.ascontiguousarray(values, np.uint64).reshape(-1))
 
 
 def unpacked_counts(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    values = np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
+    values = _from_planes(data).view(np.int64)
     return values.reshape(-1, width) if width > 1 else values
 
 
@@ -290,6 +305,7 @@ def _count_words(texts: DataFrame) -> DataFrame:
                 yield rows(keys, counts)
         for keys, counts in counter.rest():
             yield rows(keys, counts)
+        give_back()
 
     counted = texts.mapInArrow(task, "hash long, n long")
     return written(counted.groupBy("hash").agg(F.sum("n").alias("n")), "lm-words")
@@ -351,6 +367,7 @@ def _count_bigrams(texts: DataFrame, words: Shards, shards: int) -> DataFrame:
                 yield rows(keys, counts)
         for keys, counts in counter.rest():
             yield rows(keys, counts)
+        give_back()
 
     return texts.mapInArrow(task, "shard int, keys binary, counts binary")
 
@@ -362,24 +379,30 @@ def _bigram_arrays(counted: DataFrame, words: Shards, shards: int, folder: str)
     """The bigrams' arrays, with the number of bigrams seen 1 to 4 times; and, by part of the words, what they say of the words."""
     bounds = words.base[:-1].astype(np.uint64)
 
-    def reduced(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        key, count = merged(keys, counts)
-        name = _saved(folder, hash=key, count=_narrow(count))
-        # Both sides one after the other, and in 32 bits, as a worker holds few arrays of this size.
-        pair = gathered(key)
-        left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
-        del pair
-        ids = np.union1d(left, right)
+    def summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the bigrams, and what these say of them, from STEP bigrams at a time."""
+        left, right = np.empty(len(key), np.uint32), np.empty(len(key), np.uint32)
+        steps = [slice(at, at + STEP) for at in range(0, len(key), STEP)]
+        for step in steps:
+            pair = gathered(key[step])
+            left[step], right[step] = pair >> np.uint64(32), pair.astype(np.uint32)
+        ids = np.union1d(np.unique(left), np.unique(right))
         sums = np.zeros((len(ids), 4), np.int64)
-        at = np.searchsorted(ids, left)
-        for i in (1, 2, 3):
-            sums[:, i - 1] = np.bincount(at[count >= 3 if i == 3 else count == i], minlength=len(ids))
-        at = np.searchsorted(ids, right)
-        sums[:, 3] = np.bincount(at, minlength=len(ids))
-        ids = ids.astype(np.uint64)
-        cuts = np.append(np.searchsorted(ids, bounds), len(ids))
+        for step in steps:
+            at, seen = np.searchsorted(ids, left[step]), np.minimum(count[step], 3)
+            for i in (1, 2, 3):
+                sums[:, i - 1] += np.bincount(at[seen == i], minlength=len(ids))
+            sums[:, 3] += np.bincount(np.searchsorted(ids, right[step]), minlength=len(ids))
+        return ids.astype(np.uint64), sums
+
+    def reduced(keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+        key, count = _pieces_merged(keys, counts)
+        name = _saved(folder, hash=key, count=count)
         few = [int((count == i).sum()) for i in (1, 2, 3, 4)]
         rows = [(int(key[0].view(np.int64)), len(key), name, *few, None, None, None)]
+        ids, sums = summed(key, count)
+        del key, count
+        cuts = np.append(np.searchsorted(ids, bounds), len(ids))
         for i in range(len(bounds)):
             part = slice(cuts[i], cuts[i + 1])
             if cuts[i] < cuts[i + 1]:
@@ -390,12 +413,32 @@ def _bigram_arrays(counted: DataFrame, words: Shards, shards: int, folder: str)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, counts in _by_first(batches):
-            yield reduced([unpacked(k) for k in keys], [unpacked_counts(c, 1) for c in counts])
+            yield reduced(keys, counts)
+            give_back()
 
     dealt = counted.repartition(shards, "shard").sortWithinPartitions("shard")
     return written(dealt.mapInArrow(task, _REDUCED), "lm-bigram-arrays")
 
 
+def _pieces_merged(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of packed pieces and their counts, from about STEP keys at a time; the lists are emptied."""
+    parts = []
+    while keys:
+        parts.append((unpacked(keys.pop()), _narrow(unpacked_counts(counts.pop(), 1))))
+    held = sum(len(key) for key, _ in parts)
+    low, high = min(int(key[0]) for key, _ in parts), max(int(key[-1]) for key, _ in parts)
+    ranges = -(-held // STEP)
+    bounds = np.array([low + (high - low) * i // ranges for i in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(key, bounds).tolist(), len(key)] for key, _ in parts]
+    found, sums, end = np.empty(held, np.uint64), np.empty(held, np.int64), 0
+    for i in range(ranges):
+        own = [(key[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]) for (key, count), cut in zip(parts, cuts)]
+        key, count = merged([key for key, _ in own], [count for _, count in own])
+        found[end : end + len(key)], sums[end : end + len(key)] = key, count
+        end += len(key)
+    return found[:end], _narrow(sums[:end])
+
+
 def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
     """Rows of equal first columns, which stand together: that value, and the lists of the second and third."""
     now, second, third = None, [], []
@@ -436,6 +479,7 @@ def _around_arrays(reduced: DataFrame, words: Shards, folder: str) -> DataFrame:
                 around[at.astype(np.int64)] += unpacked_counts(sums.as_py(), 4)
         if around is not None:
             yield saved(now, around)
+        give_back()
 
     rows = reduced.filter("part IS NOT NULL").select("part", "ids", "sums")
     dealt = rows.repartition(max(1, parts), "part").sortWithinPartitions("part")

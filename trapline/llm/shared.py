@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
@@ -62,6 +63,15 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_BATCH_OPTION)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system; workers live on from task to task, and wait with what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with every C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_CHARS) -> Iterator[list[list]]:
     """Columns of a few rows at a time, with about ``most`` characters in column ``text`` or one longer text."""
     for batch in batches:
@@ -75,3 +85,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_CHARS
                 end += 1
             yield [c.slice(start, end - start).to_pylist() for c in batch.columns]
             start = end
+    give_back()
