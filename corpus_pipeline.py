@@ -149,7 +149,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table gives no rows; other columns are not read.
     """
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    # Written here, as who writes the result takes batches of Spark's default size.
+    return written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pipeline-pieces")
 
 
 STAGES = [

@@ -5,12 +5,13 @@ import json
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SMALL
-from trapline.llm import exact_dedup, mixing, near_dedup, tool_calls
+from trapline.llm import exact_dedup, mixing, near_dedup, shared, tool_calls
 from trapline.llm.components import components, contracted, partial_labels
 
 DOCS = "doc_id long, text string, lang string, source string, kept boolean, rep long, key long"
@@ -403,3 +404,19 @@ def test_buckets_of_the_same_members_are_one(spark):
         buckets.setdefault(row.key, {})[row.rep] = (row.place, row.members, row.least, row.label)
     assert sorted(map(sorted, buckets.values())) == [[1, 2], [1, 2, 3]]
     assert {1: (1, 3, 9, 1), 2: (2, 3, 9, 2), 3: (3, 3, 9, 3)} in buckets.values()
+
+
+def test_python_tasks_get_small_batches(spark):
+    def task(batches):
+        yield from (pa.RecordBatch.from_pydict({"size": [batch.nbytes]}) for batch in batches)
+
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    sizes = [row["size"] for row in shared.written(texts.mapInArrow(task, "size long"), "sizes").collect()]
+    assert sum(sizes) > 6_000_000 and max(sizes) < 3_000_000
+
+
+def test_the_last_stage_runs_in_small_batches(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    found = corpus_pipeline.packing(spark, docs, SMALL)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(row.doc_id for row in found.collect()) == [1, 2]

@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, languages:
         limit = F.when(F.col("lang") == row.lang, F.lit(share)).otherwise(limit)
     drawn = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_DRAWS)) < limit).select("lang", "text")
     counts = np.zeros((len(names), BUCKETS))
-    sums = _labelled_counts(drawn).toArrow()
+    sums = written(_labelled_counts(drawn), "language-counts").toArrow()
     at = {name: i for i, name in enumerate(names)}
     rows = np.array([at[name] for name in sums["lang"].to_pylist()], int)
     counts[rows, sums["bucket"].to_numpy()] = sums["n"].to_numpy()

@@ -180,7 +180,8 @@ def _cell_counts(texts: DataFrame, words: int) -> np.ndarray:
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["cell", "n"])
 
-    summed = texts.mapInArrow(task, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    summed = texts.mapInArrow(task, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    summed = written(summed, "near-cells").toArrow()
     counts = np.zeros(1 << CELL_BITS, np.int64)
     counts[summed["cell"].to_numpy()] = summed["n"].to_numpy()
     return counts

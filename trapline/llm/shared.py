@@ -18,7 +18,7 @@ from trapline.settings import work_folder
 SPACES = r"[\x20\x09-\x0D]+"
 
 # Bytes of an Arrow batch that goes to a Python helper.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BATCH_OPTION = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 # Python helpers look at so many characters at a time, whatever the size of a batch.
