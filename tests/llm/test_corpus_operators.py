@@ -116,6 +116,26 @@ def test_a_large_group_makes_few_links(spark, monkeypatch):
     assert carried[0] < 5 * 400
 
 
+def test_sets_ask_few_pivots_of_a_large_group(spark, monkeypatch):
+    import random
+
+    draw, tested = random.Random(7), []
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for doc_id in range(600):
+        # Sets with three edits link only with those that have fewer, and those with six not at all.
+        own = list(words)
+        for at in draw.sample(range(150), draw.choice((1, 2, 2, 3, 3, 3, 6))):
+            own[at] = f"x{doc_id}_{at}"
+        rows.append((doc_id, " ".join(own)))
+    monkeypatch.setattr(near_dedup, "BUCKET", 1)  # all buckets are large
+    real = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *more: tested.append(pairs.count()) or real(pairs, *more))
+    found = near_dedup.near_dedup(with_rows(spark, rows), shingle_words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_force(rows, 4)
+    assert sum(tested) < 12 * len(rows)
+
+
 def test_frequent_sets_are_one_class(spark):
     rows = [(i, "the same words in every row") for i in range(50, 1500)] + [(i, f"one of its own {i}") for i in range(50)]
     found = near_dedup.near_dedup(with_rows(spark, rows), shingle_words=4).collect()

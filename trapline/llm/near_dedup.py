@@ -31,9 +31,10 @@ BANDS = REGISTERS // BAND_REGISTERS
 DEVIATIONS = 5.0
 # Up to so many sets of a bucket are compared one with another; larger buckets are split by the rarest shingles of their members.
 BUCKET = 32
-# Pivots of a bucket in each turn, before and after large buckets are split, and how many of a hand's pivots a set asks.
-PIVOTS = ((1,), (32, 128))
+# How many of a hand's pivots a set asks, before and after large buckets are split.
 ASKED = (3, 1)
+# A bucket has one pivot before that, so many in the first turn after it, and in each further turn so many times more.
+HANDS = 4
 # Rounds in which the links of a turn are contracted.
 LINK_ROUNDS = 1
 # A set of more than a thousandth of all rows is frequent; there are fewer than so many.
@@ -330,11 +331,13 @@ def _found(reps: DataFrame, docs: DataFrame, words: int) -> Found:
     """Links that connect all representatives which any chain of links connects.
 
     In every bucket sets are paired with one of them, the pivot, and those that
-    pass are linked, in a few turns with other pivots for buckets whose sets are not yet in one
-    component.  Then up to BUCKET sets are paired with each other, where their components
-    differ, and larger buckets are split by ``_split``, where the same follows; what is then
-    still large and of several components is paired in full.  So no link that the
-    bands found is lost, and a hot bucket of near-copies costs rows in proportion to its members.
+    pass are linked.  Then up to BUCKET sets are paired with each other, where their components
+    differ, and larger buckets are split by ``_split``.  There turns with ever more pivots follow
+    for buckets whose sets are not yet in one component: most sets of a group find a link among few pivots and
+    ask no more, so only those that link with few others meet many.  What is still of
+    several components when a turn has a good part of the largest bucket as pivots is paired in full.  So no link that the
+    bands found is lost.  Pairs grow with the members of a group, except those of sets
+    that link with none of the others: these are compared with all that the order of shingles leaves.
     """
     bands = reps.select("rep", "n", F.posexplode("bands").alias("band", "value")).filter("value != 0")
     rows = bands.select(F.xxhash64("band", "value").alias("key"), "rep", "n", F.lit(0).alias("place"))
@@ -343,9 +346,13 @@ def _found(reps: DataFrame, docs: DataFrame, words: int) -> Found:
         open_rows = _mixed(_shared(rows), found) if last else written(_shared(rows), "near-shared")
         # Sets that meet in a rare shingle have passed as good a filter as the estimate.
         sketches = None if last else reps
-        for turn, hands in enumerate(PIVOTS[last]):
+        turn, hands = 0, HANDS if last else 1
+        while True:
             found.test(_proposals(open_rows, turn, hands, ASKED[last]), sketches)
             open_rows = _mixed(open_rows, found)
+            turn, hands = turn + 1, hands * HANDS
+            if not last or hands * HANDS > (open_rows.agg(F.max("members")).first()[0] or 0):
+                break
         found.test(_across(open_rows if last else open_rows.filter(F.col("members") <= BUCKET)), sketches)
         large = open_rows.filter(F.col("members") > BUCKET)
         if last or large.isEmpty():
