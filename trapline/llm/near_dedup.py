@@ -34,7 +34,7 @@ BUCKET = 32
 # How many of a hand's pivots a set asks, before and after large buckets are split.
 ASKED = (3, 1)
 # A bucket has one pivot before that, so many in the first turn after it, and in each further turn so many times more.
-HANDS = 4
+HANDS = 6
 # Rounds in which the links of a turn are contracted.
 LINK_ROUNDS = 1
 # A set of more than a thousandth of all rows is frequent; there are fewer than so many.
